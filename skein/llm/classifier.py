@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import read, scratch, small_batches, texts, word_pieces
 
-#: Hashed features: word shapes, and one for a word that repeats the one before.
-DIMS = 4096
+#: Hashed features: word shapes below SHAPES; above, the step on which each of a text's rates stands.
+DIMS, SHAPES = 4096, 4032
 LABELLERS = 8
-_AGAIN = DIMS - 1
+_RATE_STEPS, _LENGTH_STEPS = (0.02, 0.1, 0.25, 0.5), (1.5, 2.5, 8, 12, 20)
 _TABLE = bytes(
     (0x30 if 0x30 <= i <= 0x39 else 0x41 if 0x41 <= i <= 0x5A else 0x61 if 0x61 <= i <= 0x7A or i >= 0x80 else i) for i in range(256)
 )
@@ -51,7 +51,7 @@ class Shapes(dict):
             no = self.known[key] = len(self.rows)
             self.rows.append(
                 (
-                    xxhash.xxh32_intdigest(s) % (DIMS - 1), signs, letters and not s.count(b"a"), not letters and not s.count(b"0"),
+                    xxhash.xxh32_intdigest(s) % SHAPES, signs, letters and not s.count(b"a"), not letters and not s.count(b"0"),
                     s[-1:] in (b".", b"!", b"?", b",") and s[-2:-1] == b"a", letters and len(word) <= 4, len(word),
                 )
             )
@@ -75,14 +75,20 @@ def describe(shapes: Shapes, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return np.array(list(total), np.int64), np.array(list(total.values()), np.float64), again
 
 
+def rates(shapes: Shapes, no: np.ndarray, count: np.ndarray, again: int) -> list[float]:
+    """Of a text with words: the shares of its words with runs of signs, in capitals, without letters or digits, that
+    end a clause, that are short, their mean length, and the share that repeats the word before."""
+    n = count.sum()
+    traits = np.array([shapes.rows[i] for i in no], dtype=np.float64)
+    return [*(count @ traits[:, 1:] / n).tolist(), again / n]
+
+
 def votes(shapes: Shapes, no: np.ndarray, count: np.ndarray, again: int) -> int:
     """The labellers' votes as digits to base 3: 0 abstains, 1 says bad, 2 says good."""
     n = count.sum()
     if not n:
         return 0
-    traits = np.array([shapes.rows[i] for i in no], dtype=np.float64)
-    signs, upper, bare, ends, short, length = (count @ traits[:, 1:] / n).tolist()
-    repeat = again / n
+    signs, upper, bare, ends, short, length, repeat = rates(shapes, no, count, again)
     if n < 5:  # too short for rates: only signs and letters are judged
         say = [1 if signs > 0.5 else 0, 0, 1 if bare > 0.5 else 0, 0, 0, 0, 0, 0]
     else:
@@ -102,15 +108,16 @@ def votes(shapes: Shapes, no: np.ndarray, count: np.ndarray, again: int) -> int:
 def estimate(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], list[tuple[float, float]]]:
     """EM over the histogram of vote patterns: P(good) of each pattern, and each labeller's accuracy on bad and good.
 
-    The table of P(vote | class) has three columns, so abstaining is informative too. It starts from the
-    majority vote and has one vote of smoothing in every cell. A pattern without votes gets the prior.
+    The table of P(vote | class) has three columns, so abstaining is informative too, and has one vote of
+    smoothing in every cell. A labeller looks for one kind of junk and the others don't see it, so a single vote
+    for bad starts the text off as likely bad. A pattern without votes gets the prior.
     """
     if not patterns:
         return {}, [(0.0, 0.0)] * LABELLERS
     keys = sorted(patterns)
     v = np.array([[k // 3**i % 3 for i in range(LABELLERS)] for k in keys])
     weight = np.array([patterns[k] for k in keys], dtype=np.float64)
-    good = ((v == 2).sum(1) + 1) / ((v > 0).sum(1) + 2)
+    good = np.array([0.9, 0.3, 0.1])[np.minimum((v == 1).sum(1), 2)]
     table = np.zeros((LABELLERS, 2, 3))
     for _ in range(rounds):
         for i in range(LABELLERS):
@@ -130,15 +137,25 @@ def estimate(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, flo
 
 
 def _features(shapes: Shapes, no: np.ndarray, count: np.ndarray, again: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array([shapes.rows[i][0] for i in no] + [_AGAIN], dtype=np.int64)
-    return at, np.append(count, again)
+    """Features of a text with words and their values: the share of each shape, and one for the step of each rate."""
+    r = rates(shapes, no, count, again)
+    steps = [SHAPES + 8 * i + int(np.searchsorted(_LENGTH_STEPS if i == 5 else _RATE_STEPS, x)) for i, x in enumerate(r)]
+    return np.array([shapes.rows[i][0] for i in no] + steps, np.int64), np.concatenate([count / count.sum(), np.ones(len(steps))])
+
+
+def _score(weight: np.ndarray, shapes: Shapes, text: bytes) -> float | None:
+    d = describe(shapes, text)
+    if not len(d[1]):
+        return None
+    at, x = _features(shapes, *d)
+    return round(float(weight[at] @ x), 6)
 
 
 def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, list[tuple[float, float]]]:
     """Posteriors by vote pattern, weights of the hashed features, accuracies of the labellers; from all documents.
 
     What the driver gets is bounded: at most 3 ** LABELLERS patterns and 2 * DIMS sums. A weight is the log
-    ratio of a feature's share in good and in bad text, each document counting by its posterior.
+    ratio of a feature's share in good and in bad texts, each text counting by its posterior.
     """
     small_batches(docs.sparkSession)
 
@@ -153,8 +170,8 @@ def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, list[tuple[flo
                 if row is None:
                     row = sums[p] = np.zeros(DIMS + 1)
                 row[0] += 1
-                at, x = _features(shapes, *d)
-                np.add.at(row[1:], at, x / max(1.0, d[1].sum()))
+                if len(d[1]):
+                    np.add.at(row[1:], *_features(shapes, *d))
             if len(sums) > 1000:
                 yield from emit(sums)
                 sums = {}
@@ -184,7 +201,7 @@ def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, list[tuple[flo
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, posterior, score, keep: the weak labels' posterior and the linear score of each document.
 
-    The score is the mean weight of a document's features; it is kept from 0 on. A text without words,
+    The score is the sum of a document's features times their weights; it is kept from 0 on. A text without words,
     null or empty, has the score null and is rejected. Repeated rows and null doc_ids are judged like others.
     """
     good, weight, _ = train(docs)
@@ -196,8 +213,7 @@ def classify(docs: DataFrame) -> DataFrame:
             for t in texts(b):
                 d = describe(shapes, t)
                 post.append(good.get(votes(shapes, *d)))
-                at, x = _features(shapes, *d)
-                score.append(round(float(weight[at] @ x) / d[1].sum(), 6) if len(d[1]) else None)
+                score.append(_score(weight, shapes, t))
             keep = [s is not None and s >= 0 for s in score]
             cols = [b.column(0), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(keep, pa.bool_()), b.column(2)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "posterior", "score", "keep", "key"])
@@ -216,9 +232,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
         shapes, out = Shapes(), []
         for t in text:
-            d = describe(shapes, t.encode() if t is not None else b"")
-            at, x = _features(shapes, *d)
-            out.append(bool(len(d[1])) and round(float(weight[at] @ x) / d[1].sum(), 6) >= 0)
+            score = _score(weight, shapes, t.encode() if t is not None else b"")
+            out.append(score is not None and score >= 0)
         return pd.Series(out, dtype=bool)
 
     return docs.filter(good("text"))
