@@ -14,17 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read, scratch, small_batches, word_pieces
+from skein.llm.common import read, scratch, small_batches, texts, word_pieces
 
 #: Bytes of context.
 DEPTH = 5
-#: Bytes of text that share one task and one look-up of what they need from the model.
-BLOCK_BYTES = 8 << 20
 #: Distinct grams in a task that builds its part of the tree.
-BUCKET_GRAMS = 1 << 18
+BUCKET_GRAMS = 1 << 17
+#: Keys of each of the two tables that go to every task: at most 32 MB each.
+TABLE_KEYS = 1 << 21
+#: Words that a task counts before it hands them on; of grams three times as many.
+HELD_KEYS = 400_000
 #: A byte that UTF-8 never has ends a text.
 END = 0xFF
 _PIECE = 1 << 20
@@ -52,15 +55,15 @@ def _lgamma_half(n: np.ndarray) -> np.ndarray:
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    """ln gamma for x > 0: shifted past 8, then Stirling's series."""
+    """ln gamma for x > 0: shifted past 12, then Stirling's series."""
     x = np.asarray(x, dtype=np.float64)
-    shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift = np.where(low, shift + np.log(np.where(low, y, 1.0)), shift)
+    shift, y = np.ones_like(x), x.copy()
+    while (low := y < 12).any():
+        shift = np.where(low, shift * y, shift)
         y = np.where(low, y + 1, y)
     r = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - shift
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / y
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.log(shift)
 
 
 def kt_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,7 +140,7 @@ def _level(nodes: DataFrame, d: int) -> DataFrame:
 
 
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram, logp (natural) for rows (gram, n): n = 0 asks for a gram that training lacks.
+    """gram, n, logp (natural) for rows (gram, n): n = 0 asks for a gram that training lacks.
 
     The tree is cut by the three latest bytes of context; contexts are dealt to as many tasks as the grams
     need, and below one there are at most 256 ** (depth - 2) grams. The nodes of depth 2 stay in a table of
@@ -146,7 +149,6 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     if depth < 3:
         raise ValueError("a depth of at least 3")
     top = 3
-    counts = scratch(counts, "grams")
     buckets = max(1, -(-counts.count() // BUCKET_GRAMS))
     suffix = F.expr(f"(gram >> 8) & {(1 << (8 * top)) - 1}")
     parts = counts.select("gram", "n", F.pmod(F.xxhash64(suffix), F.lit(buckets)).cast("int").alias("bucket"))
@@ -177,9 +179,118 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             key = (((gram >> 8) & ((1 << (8 * a["depth"])) - 1))[:, None] << 8) | tree.node
             at = np.searchsorted(a["key"], key)
             p, seen = mix(p, seen, a["zeros"][at], a["ones"][at], a["ratio"][at], tree.bit)
-        return pa.table({"gram": gram, "logp": np.log(p).sum(axis=1)})
+        return pa.table({"gram": gram, "n": t.column("n"), "logp": np.log(p).sum(axis=1)})
+
+    return parts.groupBy("bucket").cogroup(needed.groupBy("at")).applyInArrow(score, "gram long, n long, logp double")
+
+
+class Lookup:
+    """A hash table of whole numbers in two arrays, asked for many keys at once."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(key)) * 2))))
+        self.key, self.full = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, bool)
+        self.value = np.zeros(1 << self.bits)
+        at, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = left[~self.full[at[left]]]
+            self.key[at[free]] = key[free]  # of several for one slot the last one gets it
+            self.full[at[free]] = True
+            mine = self.key[at[left]] == key[left]
+            self.value[at[left[mine]]] = value[left[mine]]
+            left = left[~mine]
+            at[left] = (at[left] + 1) & (len(self.key) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        h = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 where a key is missing, and which are there."""
+        at = self._slot(key)
+        hit = self.full[at] & (self.key[at] == key)
+        value = np.where(hit, self.value[at], 0.0)
+        todo = np.nonzero(~hit & self.full[at])[0]
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.key) - 1)
+            a = at[todo]
+            got = self.full[a] & (self.key[a] == key[todo])
+            hit[todo[got]] = True
+            value[todo[got]] = self.value[a[got]]
+            todo = todo[~got & self.full[a]]
+        return value, hit
+
+
+def _word_keys(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def _counts(rows: DataFrame, depth: int) -> DataFrame:
+    """word, key, n: occurrences in the texts to learn from of each word (by its XXH64; the end is the empty word)
+    and each gram; grams that only other texts have are there with n = 0."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, int]] = []
+        todo = 0
 
-    return parts.groupBy("bucket").cogroup(needed.groupBy("at")).applyInArrow(score, "gram long, logp double")
+        def fold() -> None:
+            nonlocal key, n, todo
+            parts, sums = [key], [n]
+            for learn in (0, 1):
+                if own := [g for g, w in held if w == learn]:
+                    u, c = np.unique(np.concatenate(own), return_counts=True)
+                    parts.append(u)
+                    sums.append(c * learn)
+            merged = np.concatenate(parts)
+            key, at = np.unique(merged, return_inverse=True)
+            n = np.bincount(at, np.concatenate(sums), len(key)).astype(np.int64)
+            held.clear()
+            todo = 0
+
+        def rows_of(word: bool, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), word)), pa.array(k), pa.array(c)], names=["word", "key", "n"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal key, n
+            fold()
+            if words:
+                yield rows_of(True, _word_keys(list(words)), np.fromiter(words.values(), np.int64, len(words)))
+            yield rows_of(False, key, n)
+            words.clear()
+            key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        for b in batches:
+            for text, out in zip(texts(b), b.column(0).to_pylist()):
+                low = text.lower()
+                if not out:
+                    words[b""] += 1
+                    for w in word_pieces(low):
+                        words.update(w)
+                for g in grams(low, depth):
+                    held.append((g, 0 if out else 1))
+                    todo += len(g)
+                    if todo > 4 * _PIECE:
+                        fold()
+                if len(words) > HELD_KEYS or len(key) > 3 * HELD_KEYS:
+                    yield from flush()
+        yield from flush()
+
+    parts = rows.select("held_out", "text").mapInArrow(each, "word boolean, key long, n long")
+    return scratch(parts.groupBy("word", "key").agg(F.sum("n").alias("n")), "counts")
+
+
+def _frequent(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The rows (key, n, x) with the largest n, at most `most`, and whether these are all rows."""
+    if table.count() <= most:
+        return table, True
+    least, upto = None, 0
+    for n, c in sorted(((r[0], r[1]) for r in table.groupBy("n").count().toLocalIterator()), reverse=True):
+        if upto + c > most:
+            break
+        least, upto = n, upto + c
+    return table.filter(F.lit(False) if least is None else F.col("n") >= least), False
 
 
 def score_documents(docs: DataFrame, held_out: F.Column | None = None, depth: int = DEPTH) -> DataFrame:
@@ -189,98 +300,86 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, depth: in
     A null text is empty: one token, the end. Without any training document the base gives log10(1) for
     each token and the model one half for each bit. Repeated rows are learned and scored as often as they
     occur; null doc_ids are learned from. Extra columns are not read.
+
+    What texts need from the model, word counts and gram probabilities, comes from two tables of at most
+    TABLE_KEYS of the most frequent keys, which go to every task. What these lack is listed by text and joined
+    with the whole model; its keys are rare ones, so no key of that join is large.
     """
     spark = docs.sparkSession
     small_batches(spark)
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")
+    rows = docs.select(F.coalesce(held_out, F.lit(False)).alias("held_out"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    counts = _counts(rows, depth)
+    word = counts.filter("word AND n > 0").select("key", "n", F.col("n").cast("double").alias("x"))
+    total = word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    big_n, big_v = int(total[0]), int(total[1])
+    gram = counts.filter("NOT word").select(F.col("key").alias("gram"), "n")
+    logp = scratch(gram_scores(gram, depth).select(F.col("gram").alias("key"), "n", F.col("logp").alias("x")), "model")
+    sent, complete = [], []
+    for table in (word, logp):
+        some, whole = _frequent(table, TABLE_KEYS)
+        got = some.select("key", "x").toPandas()  # at most TABLE_KEYS rows
+        sent.append(spark.sparkContext.broadcast((got["key"].to_numpy(np.int64), got["x"].to_numpy(np.float64))))
+        complete.append(whole)
+    denominator = big_n + 1 * (big_v + 1)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, model = (Lookup(*x.value) for x in sent)
+        row = TaskContext.get().partitionId() << 33
+        for b in batches:
+            out: list[tuple] = []
+            rest: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
+            for held, text, doc in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist()):
+                low = text.lower()
+                n = n_known = 0
+                base = s = 0.0
+                for i, w in enumerate(word_pieces(low)):
+                    c, hit = known.get(_word_keys(w if i else [b"", *w]))
+                    n += len(c)
+                    if not complete[0] and not hit.all():
+                        k = _word_keys(w if i else [b"", *w])[~hit]
+                        rest.append((row, True, *np.unique(k, return_counts=True)))
+                        c = c[hit]
+                    n_known += int((c > 0).sum())
+                    base += float(np.log10((c + 1) / denominator).sum())
+                for g in grams(low, depth):
+                    x, hit = model.get(g)
+                    s += float(x.sum())
+                    if not complete[1] and not hit.all():
+                        rest.append((row, False, *np.unique(g[~hit], return_counts=True)))
+                out.append((row, doc, held, n, n_known, base, s, len(low) + 1))
+                row += 1
+            m, size = len(out), [len(r[2]) for r in rest]
+            k = sum(size)
+            pick = lambda i, kind: pa.array([o[i] for o in out] + [None] * k, kind)
+            tail = lambda x, kind: pa.concat_arrays([pa.nulls(m, kind), pa.array(x, kind)])
+            cat = lambda i: np.concatenate([np.zeros(0, np.int64), *[r[i] for r in rest]])
+            ids = pa.array([o[0] for o in out] + np.repeat([r[0] for r in rest], size).tolist(), pa.int64())
+            cols = [
+                ids, pick(1, pa.int64()), pick(2, pa.bool_()), pick(3, pa.int64()), pick(4, pa.int64()), pick(5, pa.float64()), pick(6, pa.float64()), pick(7, pa.int64()),
+                tail(np.repeat(np.array([r[1] for r in rest], bool), size), pa.bool_()), tail(cat(2), pa.int64()), tail(cat(3), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=_PART.replace(" long", "").replace(" boolean", "").replace(" double", "").split(", "))
+
+    part = scratch(rows.mapInArrow(each, _PART), "parts")
+    rest = part.filter("word IS NOT NULL").select("row", "word", "key", "times")
+    by_word = rest.filter("word").join(word.select("key", "n"), "key", "left").select(
+        "row", (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator)))).alias("b"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("k"), F.lit(0.0).alias("s")
     )
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 256), F.lit(1))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    by_gram = rest.filter("NOT word").join(logp.select("key", "x"), "key").select("row", F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("k"), (F.col("times") * F.col("x")).alias("s"))
+    more = by_word.unionAll(by_gram).groupBy("row").agg(F.sum("b").alias("mb"), F.sum("k").alias("mk"), F.sum("s").alias("ms"))
+    whole = part.filter("word IS NULL").join(more, "row", "left")
+    s = F.col("s") + F.coalesce("ms", F.lit(0.0))
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("mk", F.lit(0))).alias("n_known"), F.lit(big_n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("mb", F.lit(0.0))).alias("base_score"), (s / float(np.log(10))).alias("score"), (-s / float(np.log(2)) / F.col("size")).alias("bits_per_byte"),
+    )
 
-    def ask(t: pa.Table) -> pa.Table:
-        words: dict[bytes, int] = {}
-        g_key, g_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        todo, held = 0, []
 
-        def fold() -> None:
-            k = np.concatenate([g_key.pop() if len(g_key) else np.zeros(0, np.int64), *[x for x, _ in held]])
-            n = np.concatenate([g_n.pop(), *[np.full(len(x), w, np.int64) for x, w in held]])
-            u, at = np.unique(k, return_inverse=True)
-            g_key.append(u)
-            g_n.append(np.bincount(at, n, len(u)).astype(np.int64))
-            held.clear()
-
-        learn: Counter = Counter()
-        for text, out in zip(t.column("text").cast(pa.large_binary()).to_pylist(), t.column("held_out").to_pylist()):
-            low = text.lower()
-            for w in word_pieces(low):
-                if out:
-                    words.update(dict.fromkeys(w, 0))
-                else:
-                    learn.update(w)
-            if out:
-                words[b""] = 0
-            else:
-                learn[b""] += 1
-            for g in grams(low, depth):
-                held.append((g, 0 if out else 1))
-                todo += len(g)
-            if todo > _PIECE:
-                fold()
-                todo = 0
-        fold()
-        words.update(learn)
-        block = t.column("block")[0].as_py()
-        k, n = g_key[0], g_n[0]
-        m = len(words)
-        return pa.table(
-            {
-                "block": pa.array(np.full(m + len(k), block, np.int32)),
-                "word": pa.chunked_array([pa.array(list(words), pa.binary()), pa.nulls(len(k), pa.binary())]),
-                "gram": pa.chunked_array([pa.nulls(m, pa.int64()), pa.array(k)]),
-                "n": pa.chunked_array([pa.array(list(words.values()), pa.int64()), pa.array(n)]),
-            }
-        )
-
-    asked = scratch(rows.groupBy("block").applyInArrow(ask, "block int, word binary, gram long, n long"), "asked")
-    word = asked.filter("word IS NOT NULL")
-    count = word.groupBy("word").agg(F.sum("n").alias("c"))
-    total = count.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    big_n, big_v = int(total[0]), int(total[1])
-    gram = asked.filter("gram IS NOT NULL")
-    logp = gram_scores(gram.groupBy("gram").agg(F.sum("n").alias("n")), depth)
-    told = word.select("block", "word").join(count, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("x"))
-    told = told.unionByName(gram.select("block", "gram").join(logp, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", F.col("logp").alias("x")))
-
-    def answer(t: pa.Table, model: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        is_word = model.column("word").is_valid()
-        mw, mg = model.filter(is_word), model.filter(pc.invert(is_word))
-        known = dict(zip(mw.column("word").to_pylist(), mw.column("x").to_pylist()))
-        key, x = mg.column("gram").to_numpy(), mg.column("x").to_numpy()
-        order = np.argsort(key)
-        key, x = key[order], x[order]
-        out: list[tuple] = []
-        for doc, text, held in zip(t.column("doc_id").to_pylist(), t.column("text").cast(pa.large_binary()).to_pylist(), t.column("held_out").to_pylist()):
-            low = text.lower()
-            count = [np.array([known[b""]])]
-            count += [np.fromiter(map(known.__getitem__, w), np.float64, len(w)) for w in word_pieces(low)]
-            n, n_known = sum(map(len, count)), sum(int((c > 0).sum()) for c in count)
-            b = sum(float(np.log10((c + 1) / (big_n + 1 * (big_v + 1))).sum()) for c in count)
-            s = sum(float(x[np.searchsorted(key, g)].sum()) for g in grams(low, depth))
-            out.append((doc, held, n, n_known, big_n, b, s / np.log(10), -s / np.log(2) / (len(low) + 1)))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-        return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(names, kinds))})
-
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        answer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    )
+_PART = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, s double, size long, word boolean, key long, times long"
 
 
 def op5_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
