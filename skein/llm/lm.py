@@ -24,8 +24,8 @@ from skein.llm.common import read, scratch, small_batches, texts, word_pieces
 DEPTH = 5
 #: Distinct grams in a task that builds its part of the tree.
 BUCKET_GRAMS = 1 << 17
-#: Keys of each of the two tables that go to every task: at most 32 MB each.
-TABLE_KEYS = 1 << 21
+#: Keys of each of the two tables that go to every task: at most 16 MB each.
+TABLE_KEYS = 1 << 20
 #: Words that a task counts before it hands them on; of grams three times as many.
 HELD_KEYS = 400_000
 #: A byte that UTF-8 never has ends a text.
@@ -163,8 +163,8 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     first = _level(second, 1)
     above = []
     for d, table in ((1, first), (0, _level(first, 0))):
-        rows = table.toPandas().sort_values("key")
-        above.append({"depth": d} | {c: rows[c].to_numpy() for c in ("key", "zeros", "ones", "ratio")})
+        rows = table.toArrow().sort_by("key")
+        above.append({"depth": d} | {c: rows.column(c).to_numpy() for c in ("key", "zeros", "ones", "ratio")})
     two = F.expr("(gram >> 8) & 65535").alias("two")
     needed = parts.select(F.col("bucket").alias("at"), two).distinct()
     needed = needed.join(second.withColumn("two", F.shiftright("key", 8)), "two").select("at", "key", "zeros", "ones", "ratio")
@@ -319,8 +319,8 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, depth: in
     sent, complete = [], []
     for table in (word, logp):
         some, whole = _frequent(table, TABLE_KEYS)
-        got = some.select("key", "x").toPandas()  # at most TABLE_KEYS rows
-        sent.append(spark.sparkContext.broadcast((got["key"].to_numpy(np.int64), got["x"].to_numpy(np.float64))))
+        got = some.select("key", "x").toArrow()  # at most TABLE_KEYS rows
+        sent.append(spark.sparkContext.broadcast((got.column("key").to_numpy(), got.column("x").to_numpy())))
         complete.append(whole)
     denominator = big_n + 1 * (big_v + 1)
 
