@@ -178,7 +178,7 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).dropDuplicates(["doc_id", "key"])
-    sets = source.join(wanted, ["doc_id", "key"]).select("text", "spans").mapInArrow(cut, "unit long, shingles binary")
+    sets = scratch(source.join(wanted, ["doc_id", "key"]).select("text", "spans").mapInArrow(cut, "unit long, shingles binary"), "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["band", "lo", "hi"]):
