@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import read, small_batches
 
-#: Words whose tokens a task remembers, and texts (bytes) it encodes at a time.
-REMEMBERED, CHUNK_BYTES = 600_000, 4 << 20
+#: Words and cuts whose tokens a task remembers, and texts (characters) it encodes at a time.
+REMEMBERED, CHUNK_BYTES = 1_000_000, 4 << 20
 #: Bytes of the words that go through the recursion at a time, and from where on a word is a long one.
 _ROUND_BYTES, _LONG = 1 << 20, 64
+#: White space other than single spaces between other signs and what stands inside a cut.
+_ODD = re.compile(r"^\s|\s$| \s|\s ")
 
 #: One round of the recursion: each unfinished word's token positions joined with the rank of the pair that
 #: starts there; the word's least rank and, of the pairs that have it, the leftmost, in one number; that pair
@@ -92,7 +95,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 class Codec:
     """A DuckDB database in memory with the merge table and the vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_spaces: bool = True):
         import duckdb
         import regex
 
@@ -103,8 +106,10 @@ class Codec:
         self.db.execute("CREATE TABLE merge AS SELECT * FROM merge")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.ranks = ranks
+        self.ranks, self.odd = ranks, _ODD if cut_at_spaces else re.compile("")
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words as little-endian unsigned 32-bit integers: a token by itself has its own id,
@@ -138,13 +143,24 @@ class Codec:
             at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(dict.fromkeys(w for p in parts for w in p))
-        self.learn(new)
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        """The ids of each text. Where no match of the pattern goes on over a single space between two signs that are
+        no white space (cut_at_spaces), texts are cut there and each cut's ids remembered; others are matched whole."""
+        cut = [[t] if self.odd.search(t) else t.split(" ") for t in texts]
+        if len(self.heads) + len(self.tails) + len(self.known) > REMEMBERED:
+            for d in (self.heads, self.tails, self.known):
+                d.clear()
+        heads = [h for h in dict.fromkeys(c[0] for c in cut) if h not in self.heads]
+        tails = [t for t in dict.fromkeys(t for c in cut for t in c[1:]) if t not in self.tails]
+        new = [self.split(h) for h in heads], [self.split(" " + t) for t in tails]
+        self.learn([w for w in dict.fromkeys(w for part in new for words in part for w in words) if w not in self.known])
+        get = self.known.__getitem__
+        for words, at, parts in ((heads, self.heads, new[0]), (tails, self.tails, new[1])):
+            for w, p in zip(words, parts):
+                at[w] = b"".join(map(get, p))
+        tail = self.tails.__getitem__
+        out = [self.heads[c[0]] + b"".join(map(tail, c[1:])) for c in cut]
+        self.heads.clear()  # mostly whole texts or their first words
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         size = np.array([len(x) // 4 for x in ids])
@@ -158,11 +174,12 @@ class Codec:
         return out
 
 
-def encode_decode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, cut_at_spaces: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text.
 
     ranks_file and pattern: a rank file of base64 tokens with one for each byte, and the pattern whose matches
-    are encoded by themselves; the driver reads the file and sends it along. A null or empty text has no tokens.
+    are encoded by themselves; the driver reads the file and sends it along. cut_at_spaces: whether no match of the
+    pattern goes on over a single space in front of a sign, which saves matching words again. A null or empty text has no tokens.
     Repeated rows and null doc_ids are answered like others; extra columns are not read.
     """
     small_batches(docs.sparkSession)
@@ -173,7 +190,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in batches:
-            codec = codec or Codec(lines.value, pattern)
+            codec = codec or Codec(lines.value, pattern, cut_at_spaces)
             doc = b.column(0).to_pylist()
             text = [t or "" for t in b.column(1).to_pylist()]
             at = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,10 +34,19 @@ def _unit(t: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, np.float64) for x in t.column("v").to_pylist()]
 
 
-def _key(v: np.ndarray, no: int) -> int:
-    """The concatenated bits of the pass's random hyperplanes, the first one highest."""
-    planes = np.random.default_rng([no, len(v)]).standard_normal((BITS, len(v)))
-    return int("".join("1" if x > 0 else "0" for x in planes @ v), 2)
+@functools.lru_cache(maxsize=8)
+def _planes(no: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([no, dim]).standard_normal((BITS, dim))
+
+
+def _keys(vectors: list[np.ndarray], no: int) -> np.ndarray:
+    """Of each vector the concatenated bits of the pass's random hyperplanes, the first one highest."""
+    out, weight = np.zeros(len(vectors), np.int64), 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    size = np.array([len(v) for v in vectors])
+    for dim in np.unique(size):
+        at = np.nonzero(size == dim)[0]
+        out[at] = (np.stack([vectors[i] for i in at]) @ _planes(no, int(dim)).T > 0) @ weight
+    return out
 
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -95,8 +105,8 @@ def _one_pass(cls: DataFrame, no: int, cosine: float) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = [_key(np.frombuffer(x, np.float64), no) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64())], names=["node", "label", "v", "key"])
+            key = _keys([np.frombuffer(x, np.float64) for x in b.column(2).to_pylist()], no)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], names=["node", "label", "v", "key"])
 
     rows = cls.select("node", "label", "v").mapInArrow(keyed, "node long, label long, v binary, key long")
     parts = int(cls.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ DEPTH = 5
 BUCKET_GRAMS = 1 << 17
 #: Keys of each of the two tables that go to every task: at most 16 MB each.
 TABLE_KEYS = 1 << 20
-#: Words that a task counts before it hands them on; of grams three times as many.
+#: Words that a task counts before it hands them on; of grams twice as many.
 HELD_KEYS = 400_000
 #: A byte that UTF-8 never has ends a text.
 END = 0xFF
@@ -271,9 +271,9 @@ def _counts(rows: DataFrame, depth: int) -> DataFrame:
                 for g in grams(low, depth):
                     held.append((g, 0 if out else 1))
                     todo += len(g)
-                    if todo > 4 * _PIECE:
+                    if todo > 2 * _PIECE:
                         fold()
-                if len(words) > HELD_KEYS or len(key) > 3 * HELD_KEYS:
+                if len(words) > HELD_KEYS or len(key) > 2 * HELD_KEYS:
                     yield from flush()
         yield from flush()
 
