@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from skein.llm.common import read, small_batches
 REMEMBERED, CHUNK_BYTES = 1_000_000, 4 << 20
 #: Bytes of the words that go through the recursion at a time, and from where on a word is a long one.
 _ROUND_BYTES, _LONG = 1 << 20, 64
+#: Cuts of a text whose ids are put together at a time.
+_CUTS = 1 << 18
 #: White space other than single spaces between other signs and what stands inside a cut.
 _ODD = re.compile(r"^\s|\s$| \s|\s ")
 
@@ -30,7 +33,8 @@ WITH RECURSIVE step AS (
   UNION ALL
   (WITH paired AS MATERIALIZED (
      SELECT p.*, (m.rank::BIGINT << 20) | p.pos AS pair
-     FROM (SELECT *, lead(tok) OVER o AS nxt, lag(pos, 1, -1) OVER o AS prev FROM step WINDOW o AS (PARTITION BY w ORDER BY pos)) p
+     FROM (SELECT *, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS nxt, CASE WHEN lag(w) OVER o = w THEN lag(pos) OVER o ELSE -1 END AS prev
+           FROM step WINDOW o AS (ORDER BY w, pos)) p
      LEFT JOIN merge m ON m.l = p.tok AND m.r = p.nxt
    ), best AS (SELECT w, min(pair) AS least FROM paired WHERE pair IS NOT NULL GROUP BY w)
    SELECT w, pos, CASE WHEN pos = (least & 1048575) THEN least >> 20 ELSE tok END::INTEGER AS tok, round + 1
@@ -108,7 +112,6 @@ class Codec:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ranks, self.odd = ranks, _ODD if cut_at_spaces else re.compile("")
         self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -145,22 +148,36 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Where no match of the pattern goes on over a single space between two signs that are
         no white space (cut_at_spaces), texts are cut there and each cut's ids remembered; others are matched whole."""
-        cut = [[t] if self.odd.search(t) else t.split(" ") for t in texts]
-        if len(self.heads) + len(self.tails) + len(self.known) > REMEMBERED:
-            for d in (self.heads, self.tails, self.known):
-                d.clear()
-        heads = [h for h in dict.fromkeys(c[0] for c in cut) if h not in self.heads]
-        tails = [t for t in dict.fromkeys(t for c in cut for t in c[1:]) if t not in self.tails]
-        new = [self.split(h) for h in heads], [self.split(" " + t) for t in tails]
-        self.learn([w for w in dict.fromkeys(w for part in new for words in part for w in words) if w not in self.known])
+        if len(self.tails) + len(self.known) > REMEMBERED:
+            self.tails.clear()
+            self.known.clear()
+        heads, rests = zip(*((t, None) if self.odd.search(t) else t.partition(" ")[::2] for t in texts)) if texts else ((), ())
+        cuts = pc.split_pattern(pa.array([r or None for r in rests], pa.large_string()), " ")
+        coded = cuts.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        firsts, new = list(dict.fromkeys(heads)), [t for t in different if t not in self.tails]
+        parts = [self.split(h) for h in firsts], [self.split(" " + t) for t in new]
+        self.learn([w for w in dict.fromkeys(w for part in parts for words in part for w in words) if w not in self.known])
         get = self.known.__getitem__
-        for words, at, parts in ((heads, self.heads, new[0]), (tails, self.tails, new[1])):
-            for w, p in zip(words, parts):
-                at[w] = b"".join(map(get, p))
-        tail = self.tails.__getitem__
-        out = [self.heads[c[0]] + b"".join(map(tail, c[1:])) for c in cut]
-        self.heads.clear()  # mostly whole texts or their first words
-        return out
+        self.tails.update((t, b"".join(map(get, words))) for t, words in zip(new, parts[1]))
+        first = {h: b"".join(map(get, words)) for h, words in zip(firsts, parts[0])}
+        ids = list(map(self.tails.__getitem__, different))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, whole = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+        ends = np.cumsum(np.nan_to_num(pc.list_value_length(cuts).to_numpy(zero_copy_only=False))).astype(np.int64).tolist()
+        code = coded.indices.to_numpy()
+        return [first[h] + self._spread(whole, start, size, code[a:b]) for h, a, b in zip(heads, [0, *ends], ends)]
+
+    @staticmethod
+    def _spread(whole: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> bytes:
+        """The ids of the cuts `code` one after the other, some at a time; cut i has `size` of `whole` from `start` on."""
+        out = []
+        for at in range(0, len(code), _CUTS):
+            some = code[at : at + _CUTS]
+            n = size[some]
+            place = np.arange(n.sum()) + np.repeat(start[some] - np.cumsum(n) + n, n)
+            out.append(whole[place].tobytes())
+        return b"".join(out)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         size = np.array([len(x) // 4 for x in ids])
@@ -174,6 +191,20 @@ class Codec:
         return out
 
 
+#: The codec that a Python worker made last: building one takes longer than many a task's texts.
+_codec: dict[tuple[str, str, bool], Codec] = {}
+
+
+def worker_codec(name: str, ranks, pattern: str, cut_at_spaces: bool) -> Codec:
+    """The codec of a rank file by its digest; ranks: a broadcast of its table. Spark hands a worker one task after the
+    other, so what earlier tasks remembered serves later ones, within REMEMBERED."""
+    key = (name, pattern, cut_at_spaces)
+    if key not in _codec:
+        _codec.clear()
+        _codec[key] = Codec(ranks.value, pattern, cut_at_spaces)
+    return _codec[key]
+
+
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, cut_at_spaces: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text.
 
@@ -184,13 +215,15 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, cut_at_spaces:
     """
     small_batches(docs.sparkSession)
     with open(ranks_file, "rb") as f:
-        ranks = load_ranks(f.read())
-    lines = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: of fixed size
+        lines = f.read()
+    name = hashlib.sha256(lines).hexdigest()
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(lines))  # the vocabulary: of fixed size
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        from skein.llm.bpe import worker_codec  # the worker's own module, which outlives the task
+
+        codec = worker_codec(name, ranks, pattern, cut_at_spaces)
         for b in batches:
-            codec = codec or Codec(lines.value, pattern, cut_at_spaces)
             doc = b.column(0).to_pylist()
             text = [t or "" for t in b.column(1).to_pylist()]
             at = 0
