@@ -1,8 +1,9 @@
 """Substring dedup: paragraph MinHash banding with exact Jaccard, and repeated passages inside paragraphs.
 
 Two kinds of unit, so that a passage is caught whether it stands as a paragraph or inside one:
-paragraphs (lines), compared by word-shingle Jaccard; and pieces of the running text cut where the
-words themselves say so, compared for equality, of which only runs of some length count.
+paragraphs (lines), compared by word-shingle Jaccard; and every run of MIN_WORDS words of the running
+text, compared for equality. Neighbouring runs that share their least seed are one row until a seed is
+found in two documents, so that not every word makes a row.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS = 20
 #: Two rows a band: at a similarity of 0.8 a pair meets in a band with probability 1 - (1 - 0.64) ** 6 = 0.998.
 BANDS, ROWS = 6, 2
-#: A piece starts where the hash of three words is the least among so many on either side.
-REACH = 6
+#: Words of a seed. Equal runs of MIN_WORDS words have equal seeds, and so the same least seed.
+SEED = 6
 #: Paragraphs of one band in a task.
 GROUP_ROWS = 1024
 #: Beyond so many bytes a text is taken in sections, each ended at a line or else at a word.
@@ -70,18 +71,24 @@ def sections(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def analyse(low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a lower-cased section: word hashes, where lines end (in words), where pieces start (in words)."""
+def analyse(low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a lower-cased section: word hashes, where lines end (in words), where stretches start, their seeds.
+
+    A stretch is a sequence of neighbouring runs of MIN_WORDS words that have the same least seed; the last
+    one ends with the last run.
+    """
     words = low.split()
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     ends = np.cumsum([len(x.split()) for x in low.split(b"\n")], dtype=np.int64) if words else np.zeros(0, np.int64)
-    g = _windows(h, 3)
-    least = np.ones(len(g), dtype=bool)
-    for d in range(1, min(REACH, len(g) - 1) + 1):
-        least[d:] &= g[d:] < g[:-d]
-        least[:-d] &= g[:-d] <= g[d:]
-    cuts = np.nonzero(least)[0] if len(g) > 1 else np.zeros(0, np.int64)
-    return h, ends, np.unique(np.concatenate([[0], cuts])) if words else np.zeros(0, np.int64)
+    if len(h) < MIN_WORDS:
+        return h, ends, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least, width, whole = _windows(h, SEED), 1, MIN_WORDS - SEED + 1
+    while width < whole:
+        step = min(width, whole - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    starts = np.nonzero(np.append(True, least[1:] != least[:-1]))[0]
+    return h, ends, starts, least[starts]
 
 
 def _span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -98,14 +105,15 @@ def paragraph_shingles(low: bytes, start: int, end: int) -> np.ndarray:
     return np.unique(_windows(h, SHINGLE))
 
 
-_UNIT = "key long, doc_id long, section int, start int, stop int, line boolean, unit long, bands array<long>"
+_UNIT = "key long, doc_id long, section int, start int, stop int, line boolean, unit long, span long, bands array<long>"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph of at least MIN_WORDS words and each piece of at least SHINGLE words.
+    """A row for each paragraph of at least MIN_WORDS words and each stretch of runs of MIN_WORDS words.
 
-    key tells texts of one doc_id apart; start and stop count words in the section; bands has the MinHash
-    bands of a paragraph and is null for a piece. Rows with a null doc_id or text have no units.
+    key tells texts of one doc_id apart; start and stop count words in the section. unit is the hash of a
+    paragraph's words or the seed of a stretch, whose words have the hash span; bands has the MinHash bands of
+    a paragraph and is empty for a stretch. Rows with a null doc_id or text have no units.
     """
     small_batches(docs.sparkSession)
 
@@ -115,12 +123,10 @@ def units(docs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for row, text in enumerate(texts(b)):
                 for no, part in enumerate(sections(text.lower())):
-                    h, ends, cuts = analyse(part)
+                    h, ends, s, seed = analyse(part)
                     if len(h) < SHINGLE:
                         continue
-                    stop = np.append(cuts[1:], len(h))
-                    keep = stop - cuts >= SHINGLE
-                    s, e = cuts[keep], stop[keep]
+                    e = np.append(s[1:] + MIN_WORDS - 1, len(h)) if len(s) else s
                     first = np.concatenate([[0], ends[:-1]])
                     keep = ends - first >= MIN_WORDS
                     ls, le = first[keep], ends[keep]
@@ -132,7 +138,8 @@ def units(docs: DataFrame) -> DataFrame:
                         least = np.stack([np.minimum.reduceat(_mix(sh ^ c), at)[::2] for c in _SALT], axis=1)
                         bands = _mix(least[:, 0::ROWS] * _P + least[:, 1::ROWS] + np.arange(BANDS, dtype=np.uint64))
                     s, e = np.concatenate([s, ls]), np.concatenate([e, le])
-                    out.append((row, no, s, e, len(s) - len(ls), _span_hash(h, s, e), bands))
+                    span = _span_hash(h, s, e)
+                    out.append((row, no, s, e, len(seed), np.append(seed, span[len(seed) :]), bands, span))
             if not out:
                 continue
             count = np.array([len(x[2]) for x in out])
@@ -145,9 +152,10 @@ def units(docs: DataFrame) -> DataFrame:
                     pa.array(keys[row]), pa.array(ids[row]), pa.array(np.repeat([x[1] for x in out], count).astype(np.int32)),
                     pa.array(np.concatenate([x[2] for x in out]).astype(np.int32)), pa.array(np.concatenate([x[3] for x in out]).astype(np.int32)),
                     pa.array(line), pa.array(np.concatenate([x[5] for x in out]).view(np.int64)),
+                    pa.array(np.concatenate([x[7] for x in out]).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                names=["key", "doc_id", "section", "start", "stop", "line", "unit", "bands"],
+                names=["key", "doc_id", "section", "start", "stop", "line", "unit", "span", "bands"],
             )
 
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -206,12 +214,56 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
     return tiles(met.join(sets, "unit"), ["band"], "unit", GROUP_ROWS).mapInArrow(verify, "a long, b long")
 
 
+def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
+    """key, doc_id, section, start, stop, kept_doc_id: all runs of MIN_WORDS words that a smaller doc_id has, in stretches.
+
+    Equal stretches are settled as a whole. Where a seed has different stretches, the runs of the first
+    document of each are compared one by one; the first document with a run is the first with its stretch.
+    """
+    same = stretches.groupBy("unit", "span").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most"))
+    same = scratch(same, "stretches")
+    shared = same.groupBy("unit").agg(F.min("kept_doc_id").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    marked = same.join(shared.select("unit", "n"), "unit").filter("n > 1 OR kept_doc_id <> most").select("unit", "span", "kept_doc_id", "n")
+    met = scratch(stretches.join(marked, ["unit", "span"]).filter("n > 1 OR doc_id <> kept_doc_id"), "met")
+    whole = met.filter("doc_id <> kept_doc_id").select("key", "doc_id", "section", "start", "stop", "kept_doc_id")
+    wanted = met.filter("doc_id = kept_doc_id").groupBy("doc_id", "key").agg(F.collect_set(F.struct("section", "start", "stop")).alias("spans"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, spans) in enumerate(zip(texts(b), b.column(3).to_pylist())):
+                by: dict[int, list[dict]] = {}
+                for x in spans:
+                    by.setdefault(x["section"], []).append(x)
+                for no, part in enumerate(sections(text.lower())):
+                    if no not in by:
+                        continue
+                    words = part.split()
+                    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                    at = np.unique(np.concatenate([np.arange(x["start"], x["stop"] - MIN_WORDS + 1) for x in by[no]]))
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(n, b.column(1)[i].as_py(), np.int64)), pa.array(np.full(n, b.column(2)[i].as_py(), np.int64)), pa.array(np.full(n, no, np.int32)),
+                            pa.array(at.astype(np.int32)), pa.array(_span_hash(h, at, at + MIN_WORDS).view(np.int64)),
+                        ],
+                        names=["key", "doc_id", "section", "start", "run"],
+                    )
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).dropDuplicates(["doc_id", "key"])
+    found = source.join(wanted, ["doc_id", "key"]).select("text", "key", "doc_id", "spans").mapInArrow(each, "key long, doc_id long, section int, start int, run long")
+    found = scratch(found, "runs")
+    first = found.groupBy("run").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most")).filter("kept_doc_id <> most")
+    single = found.join(first.select("run", "kept_doc_id"), "run").filter("doc_id <> kept_doc_id")
+    return whole.unionAll(single.select("key", "doc_id", "section", "start", (F.col("start") + MIN_WORDS).alias("stop"), "kept_doc_id"))
+
+
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """key, doc_id, section, start, stop, kept_doc_id, paragraph: the passages to remove.
 
-    Paragraphs are clustered by components of equal or similar ones, pieces by equality. Of a cluster
-    that is in more than one document the document with the smallest doc_id keeps what it has; every
-    other occurrence is listed. Pieces count only where they follow each other over MIN_WORDS words.
+    Paragraphs are clustered by components of equal or similar ones. Of a cluster that is in more than one
+    document the document with the smallest doc_id keeps what it has; every other occurrence is listed.
+    Inside paragraphs and across them all is listed, word by word, that is in a run of MIN_WORDS words or more
+    which a document with a smaller doc_id has too.
     """
     u = scratch(units(docs), "units")
     lines = u.filter("line")
@@ -219,10 +271,10 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spread = lines.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     spread = spread.join(comp.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     cluster = spread.groupBy("component").agg(F.min("least").alias("kept_doc_id"), F.max("most").alias("most")).filter("kept_doc_id <> most")
-    marked = spread.join(cluster.select("component", "kept_doc_id"), "component").select("unit", "kept_doc_id", F.lit(True).alias("line"))
-    pieces = u.filter("NOT line").groupBy("unit").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most"))
-    marked = marked.unionByName(pieces.filter("kept_doc_id <> most").select("unit", "kept_doc_id", F.lit(False).alias("line")))
-    found = u.drop("bands").join(marked, ["unit", "line"]).filter("doc_id <> kept_doc_id")
+    marked = spread.join(cluster.select("component", "kept_doc_id"), "component").select("unit", "kept_doc_id")
+    columns = ["key", "doc_id", "section", "start", "stop", "kept_doc_id"]
+    found = lines.drop("bands").join(marked, "unit").filter("doc_id <> kept_doc_id").select(*columns, F.lit(True).alias("line"))
+    found = found.unionAll(passages(docs, u.filter("NOT line").drop("line", "bands")).select(*columns, F.lit(False).alias("line")))
     per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("section", "start", "stop", "line", "kept_doc_id")).alias("s"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,20 +282,17 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             out = []
             for doc, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 out += [(key, doc, x["section"], x["start"], x["stop"], x["kept_doc_id"], True) for x in s if x["line"]]
-                run: list[dict] = []
-                for x in [*sorted((x for x in s if not x["line"]), key=lambda x: (x["section"], x["start"])), None]:
-                    if run and (x is None or (run[-1]["section"], run[-1]["stop"]) != (x["section"], x["start"])):
-                        if run[-1]["stop"] - run[0]["start"] >= MIN_WORDS:
-                            merged: list[list] = []
-                            for r in run:
-                                if merged and merged[-1][5] == r["kept_doc_id"]:
-                                    merged[-1][4] = r["stop"]
-                                else:
-                                    merged.append([key, doc, r["section"], r["start"], r["stop"], r["kept_doc_id"], False])
-                            out += map(tuple, merged)
-                        run = []
-                    if x is not None:
-                        run.append(x)
+                merged: list[list] = []
+                for x in sorted((x for x in s if not x["line"]), key=lambda x: (x["section"], x["start"], -x["stop"])):
+                    start, stop, last = x["start"], x["stop"], merged[-1] if merged and merged[-1][2] == x["section"] else None
+                    if last and start <= last[4]:
+                        if last[5] == x["kept_doc_id"]:
+                            last[4] = max(last[4], stop)
+                            continue
+                        start = last[4]
+                    if start < stop:
+                        merged.append([key, doc, x["section"], start, stop, x["kept_doc_id"], False])
+                out += map(tuple, merged)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
             names = ["key", "doc_id", "section", "start", "stop", "kept_doc_id", "paragraph"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)

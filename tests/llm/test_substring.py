@@ -106,3 +106,28 @@ def test_columns_and_counts(documents, r):
     assert S.remove_repeats(docs).columns == docs.columns
     assert out[2].n_chars == len(out[2].text) < 40 and out[1].n_chars == len(t)
     assert S.remove_repeats(documents([])).count() == 0
+
+
+def test_every_run_of_twenty_words_that_an_earlier_document_has(documents, r, monkeypatch):
+    """Word by word what brute force finds, for short passages, ends of passages, overlaps and repetitive text."""
+    monkeypatch.setattr(S, "SECTION", 1 << 12)
+    texts = [prose(r, 90).split() for _ in range(40)]
+    for i in range(1, 40):
+        n, j = r.choice([19, 20, 21, 35, 51, 51, 55]), r.randrange(i)
+        at = r.randrange(len(texts[j]) - n)
+        texts[i][40:40] = texts[j][at : at + n]
+    texts += [prose(r, 30).split() + ["ha"] * 60, prose(r, 30).split() + ["ha"] * 45 + prose(r, 30).split(), prose(r, 25).split() + ["la", "li"] * 30, ["li", "la"] * 12 + prose(r, 25).split()]
+    got = {}
+    for x in S.repeats(documents([" ".join(t) for t in texts])).collect():
+        assert x.kept_doc_id < x.doc_id and x.section == 0
+        if not x.paragraph:
+            assert not got.setdefault(x.doc_id, set()) & set(range(x.start, x.stop))
+            got[x.doc_id] |= set(range(x.start, x.stop))
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        grams = [tuple(w.lower() for w in t[k : k + 20]) for k in range(len(t) - 19)]
+        hit = {w for k, g in enumerate(grams) if g in seen for w in range(k, k + 20)}
+        if hit:
+            want[i] = hit
+        seen |= set(grams)
+    assert got == want and len(want) > 30
