@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import components, find, read, runs, scratch, small_batches, texts, tiles
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A repeated passage counts from so many words on.
+#: A passage repeated inside paragraphs counts from so many words on.
 MIN_WORDS = 20
 #: Two rows a band: at a similarity of 0.8 a pair meets in a band with probability 1 - (1 - 0.64) ** 6 = 0.998.
 BANDS, ROWS = 6, 2
@@ -109,7 +109,7 @@ _UNIT = "key long, doc_id long, section int, start int, stop int, line boolean,
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph of at least MIN_WORDS words and each stretch of runs of MIN_WORDS words.
+    """A row for each paragraph of at least SHINGLE words and each stretch of runs of MIN_WORDS words.
 
     key tells texts of one doc_id apart; start and stop count words in the section. unit is the hash of a
     paragraph's words or the seed of a stretch, whose words have the hash span; bands has the MinHash bands of
@@ -128,7 +128,7 @@ def units(docs: DataFrame) -> DataFrame:
                         continue
                     e = np.append(s[1:] + MIN_WORDS - 1, len(h)) if len(s) else s
                     first = np.concatenate([[0], ends[:-1]])
-                    keep = ends - first >= MIN_WORDS
+                    keep = ends - first >= SHINGLE
                     ls, le = first[keep], ends[keep]
                     bands = None
                     if len(ls):

@@ -131,3 +131,14 @@ def test_every_run_of_twenty_words_that_an_earlier_document_has(documents, r, mo
             want[i] = hit
         seen |= set(grams)
     assert got == want and len(want) > 30
+
+
+def test_short_paragraphs_and_short_documents_join_too(documents, r):
+    short, five, ten = prose(r, 12), prose(r, 5), prose(r, 18)
+    near = ten + " more"
+    texts = [prose(r, 40) + "\n" + short + "\n" + ten, prose(r, 40) + "\n" + short.upper() + "\n" + near, prose(r, 40) + "\n" + five, five, prose(r, 6), prose(r, 40) + "\none two three four"]
+    texts.append(prose(r, 40) + "\none two three four")
+    found = {(x.doc_id, x.kept_doc_id, x.stop - x.start) for x in S.repeats(documents(texts)).collect() if x.paragraph}
+    assert found == {(1, 0, 12), (1, 0, 19), (3, 2, 5)}
+    out = removed(documents(texts))
+    assert 3 not in out and out[4] == texts[4] and out[6] == texts[6] and out[1].split() == texts[1].split()[:40]
