@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, find, read, runs, scratch, small_batches, texts, tiles
+from skein.llm.common import components, discard, find, read, runs, scratch, small_batches, texts, tiles
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A passage repeated inside paragraphs counts from so many words on.
@@ -77,9 +77,8 @@ def analyse(low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     A stretch is a sequence of neighbouring runs of MIN_WORDS words that have the same least seed; the last
     one ends with the last run.
     """
-    words = low.split()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    ends = np.cumsum([len(x.split()) for x in low.split(b"\n")], dtype=np.int64) if words else np.zeros(0, np.int64)
+    h = word_hashes(low)
+    ends = np.cumsum([len(x.split()) for x in low.split(b"\n")], dtype=np.int64) if len(h) else np.zeros(0, np.int64)
     if len(h) < MIN_WORDS:
         return h, ends, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least, width, whole = _windows(h, SEED), 1, MIN_WORDS - SEED + 1
@@ -99,10 +98,18 @@ def _span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def paragraph_shingles(low: bytes, start: int, end: int) -> np.ndarray:
-    """The distinct shingle hashes of the words start..end of a section."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, low.split()[start:end]), np.uint64, end - start)
-    return np.unique(_windows(h, SHINGLE))
+def word_hashes(low: bytes) -> np.ndarray:
+    words = low.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def text_bands(low: bytes) -> np.ndarray | None:
+    """The MinHash bands of a whole text; None if it has no shingle."""
+    sh = _windows(word_hashes(low), SHINGLE)
+    if not len(sh):
+        return None
+    least = np.array([_mix(sh ^ c).min() for c in _SALT])
+    return _mix(least[0::ROWS] * _P + least[1::ROWS] + np.arange(BANDS, dtype=np.uint64))
 
 
 _UNIT = "key long, doc_id long, section int, start int, stop int, line boolean, unit long, span long, bands array<long>"
@@ -112,8 +119,8 @@ def units(docs: DataFrame) -> DataFrame:
     """A row for each paragraph of at least SHINGLE words and each stretch of runs of MIN_WORDS words.
 
     key tells texts of one doc_id apart; start and stop count words in the section. unit is the hash of a
-    paragraph's words or the seed of a stretch, whose words have the hash span; bands has the MinHash bands of
-    a paragraph and is empty for a stretch. Rows with a null doc_id or text have no units.
+    paragraph's words or the seed of a stretch, whose words have the hash span (null for a paragraph); bands
+    has the MinHash bands of a paragraph and is empty for a stretch. Rows with a null doc_id or text have no units.
     """
     small_batches(docs.sparkSession)
 
@@ -152,7 +159,7 @@ def units(docs: DataFrame) -> DataFrame:
                     pa.array(keys[row]), pa.array(ids[row]), pa.array(np.repeat([x[1] for x in out], count).astype(np.int32)),
                     pa.array(np.concatenate([x[2] for x in out]).astype(np.int32)), pa.array(np.concatenate([x[3] for x in out]).astype(np.int32)),
                     pa.array(line), pa.array(np.concatenate([x[5] for x in out]).view(np.int64)),
-                    pa.array(np.concatenate([x[7] for x in out]).view(np.int64)),
+                    pa.array(np.concatenate([x[7] for x in out]).view(np.int64), mask=line),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
                 names=["key", "doc_id", "section", "start", "stop", "line", "unit", "span", "bands"],
@@ -166,7 +173,7 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
     """a, b: links between distinct paragraphs (by unit) whose shingle sets have Jaccard >= similarity.
 
     Within a band all pairs are compared that are not linked yet, so that whatever reaches each other
-    over colliding paragraphs is connected by the links returned.
+    over colliding paragraphs is connected by the links returned. The section -1 is the whole text.
     """
     banded = lines.select("unit", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).filter("x <> y").select("band")
@@ -179,10 +186,14 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
         for b in batches:
             unit, sets = [], []
             for text, spans in zip(texts(b), b.column(1).to_pylist()):
-                parts = list(sections(text.lower()))
+                low = text.lower()
+                parts, hashes = list(sections(low)), {}
                 for s in spans:
+                    no = s["section"]
+                    if no not in hashes:
+                        hashes[no] = word_hashes(parts[no] if no >= 0 else low)
                     unit.append(s["unit"])
-                    sets.append(paragraph_shingles(parts[s["section"]], s["start"], s["stop"]).tobytes())
+                    sets.append(np.unique(_windows(hashes[no][s["start"] : s["stop"]], SHINGLE)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).dropDuplicates(["doc_id", "key"])
@@ -211,7 +222,9 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
                             b.append(unit[o + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return tiles(met.join(sets, "unit"), ["band"], "unit", GROUP_ROWS).mapInArrow(verify, "a long, b long")
+    found = scratch(tiles(met.join(sets, "unit"), ["band"], "unit", GROUP_ROWS).mapInArrow(verify, "a long, b long"), "similar")
+    discard(met, sets)
+    return found
 
 
 def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
@@ -220,11 +233,11 @@ def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     Equal stretches are settled as a whole. Where a seed has different stretches, the runs of the first
     document of each are compared one by one; the first document with a run is the first with its stretch.
     """
-    same = stretches.groupBy("unit", "span").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most"))
-    same = scratch(same, "stretches")
-    shared = same.groupBy("unit").agg(F.min("kept_doc_id").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    marked = same.join(shared.select("unit", "n"), "unit").filter("n > 1 OR kept_doc_id <> most").select("unit", "span", "kept_doc_id", "n")
-    met = scratch(stretches.join(marked, ["unit", "span"]).filter("n > 1 OR doc_id <> kept_doc_id"), "met")
+    shared = stretches.groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("span") != F.max("span")).alias("mixed")).filter("lo <> hi")
+    shared = scratch(stretches.join(shared.select("unit", "mixed"), "unit"), "shared")
+    first = shared.groupBy("unit", "span").agg(F.min("doc_id").alias("kept_doc_id"))
+    met = scratch(shared.join(first, ["unit", "span"]).filter("mixed OR doc_id <> kept_doc_id").drop("unit", "span", "mixed"), "met")
+    discard(shared)
     whole = met.filter("doc_id <> kept_doc_id").select("key", "doc_id", "section", "start", "stop", "kept_doc_id")
     wanted = met.filter("doc_id = kept_doc_id").groupBy("doc_id", "key").agg(F.collect_set(F.struct("section", "start", "stop")).alias("spans"))
 
@@ -237,8 +250,7 @@ def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
                 for no, part in enumerate(sections(text.lower())):
                     if no not in by:
                         continue
-                    words = part.split()
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                    h = word_hashes(part)
                     at = np.unique(np.concatenate([np.arange(x["start"], x["stop"] - MIN_WORDS + 1) for x in by[no]]))
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
