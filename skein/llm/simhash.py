@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import components, find, read, runs, scratch, small_batches, texts, tiles, word_pieces
+from skein.llm.substring import paragraph_links, text_bands
 
 #: Rows of a leaf task; a larger node is divided first by longer masks, then in tiles.
 NODE_ROWS = 2048
+_ALL = (1 << 31) - 1  # past the last word of any text
 _NO_ID = 1 << 62  # nodes from here on stand for fingerprints without any doc_id
 
 
@@ -215,9 +217,28 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near duplicates kept: that with the smallest doc_id.
 
-    Of repeated rows with the kept doc_id one stays. Rows with a null doc_id have no name to go by and stay.
+    Near duplicates are texts whose fingerprints differ in at most three bits, or whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more, and what is linked over them. It is the texts that are compared, so
+    of rows with one doc_id only those near another text go. Of repeated rows of the kept text one stays. Rows with
+    a null doc_id have no name to go by and stay.
     """
-    found = near_duplicates(docs).filter("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
-    go = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).filter("c <> doc_id")
-    named = docs.filter("doc_id IS NOT NULL").join(go.select("doc_id"), "doc_id", "left_anti")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.filter("doc_id IS NULL"))
+    small_batches(docs.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = texts(b)
+            fp = np.array([fingerprint(t) for t in raw], dtype=np.uint64).view(np.int64)
+            bands = [None if x is None else x.view(np.int64) for x in (text_bands(t.lower()) for t in raw)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "bands"])
+
+    named = docs.filter("doc_id IS NOT NULL")
+    at = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    at = scratch(at.mapInArrow(each, "doc_id long, key long, fp long, bands array<long>"), "texts")
+    whole = at.filter("bands IS NOT NULL").select(F.col("key").alias("unit"), "doc_id", "key", F.lit(-1).alias("section"), F.lit(0).alias("start"), F.lit(_ALL).alias("stop"), "bands")
+    of = at.select("key", "fp").distinct()
+    similar = paragraph_links(named, whole).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    comp = components(links(at.select("fp", F.col("fp").alias("node")).distinct()).unionAll(similar), "a", "b")
+    group = at.join(comp.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    kept = group.agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("_skein_id"), F.col("k.key").alias("_skein_key"))
+    rows = named.join(kept, (named["doc_id"].cast("long") == F.col("_skein_id")) & (F.xxhash64(named["text"]) == F.col("_skein_key")))
+    return rows.dropDuplicates(["_skein_id", "_skein_key"]).select(docs.columns).unionAll(docs.filter("doc_id IS NULL"))

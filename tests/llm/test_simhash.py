@@ -130,3 +130,15 @@ def test_nulls_repeats_and_empty(documents):
     assert sorted((x.doc_id or -1, x.component_id or -1) for x in out) == [(-1, -1), (-1, 5), (5, 5), (5, 5)]
     kept = drop_near_duplicates(documents([(None, "a b c"), (7, "a b c"), (5, "A b c"), (5, "a b c"), (9, "quite another text here")])).collect()
     assert sorted(x.doc_id or -1 for x in kept) == [-1, 5, 9]
+
+
+def test_stage_drops_texts_of_jaccard_080_beyond_three_bits(documents):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)]
+    base = [[r.choice(words) for _ in range(150)] for _ in range(12)]
+    near = [b[:60] + [r.choice(words) for _ in range(12)] + b[60:] for b in base]
+    far = [b[:75] + [r.choice(words) for _ in range(75)] for b in base]
+    texts = [" ".join(t) for t in base + near + far] + ["one two", "three four"]
+    bits = [bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[12 + i])).count("1") for i in range(12)]
+    assert sum(b > 3 for b in bits) > 6
+    assert sorted(x.doc_id for x in drop_near_duplicates(documents(texts)).collect()) == [*range(12), *range(24, 38)]
