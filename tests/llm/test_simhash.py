@@ -142,3 +142,9 @@ def test_stage_drops_texts_of_jaccard_080_beyond_three_bits(documents):
     bits = [bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[12 + i])).count("1") for i in range(12)]
     assert sum(b > 3 for b in bits) > 6
     assert sorted(x.doc_id for x in drop_near_duplicates(documents(texts)).collect()) == [*range(12), *range(24, 38)]
+
+
+def test_stage_keeps_other_texts_of_a_repeated_id(documents):
+    a, b, c = "a b c d e f g", "quite another text of seven words here", "something else that nobody has said before"
+    kept = drop_near_duplicates(documents([(1, a), (2, a), (2, b), (3, c), (3, b), (4, c), (4, c)])).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == [(1, a), (2, b), (3, c)]
