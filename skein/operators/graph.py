@@ -216,14 +216,28 @@ def credit_index_links(hits: DataFrame, edges: DataFrame, is_index: str = "path
     return out.groupBy("id").agg(F.max("score").alias("score"))
 
 
+def span_pairs(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of points (path, start, stop, ...) beside each span (path, id, lo, hi) of their path in whose blocks they start.
+
+    Blocks have the size of a power of two. A span is in the one or two blocks of the least size it fits into, a
+    point in its block of every size that its path has spans of, so a pair is at most two blocks apart.
+    """
+    level = F.length(F.bin(F.col("hi").cast("long") - F.col("lo").cast("long")))
+    block = lambda c: F.expr(f"shiftright(CAST({c} AS BIGINT), _level)")
+    s = spans.filter("lo <= hi").withColumn("_level", level)
+    s = s.withColumn("_block", F.explode(F.array_distinct(F.array(block("lo"), block("hi")))))
+    p = points.join(s.select("path", "_level").distinct(), "path").withColumn("_block", block("start"))
+    return p.join(s, ["path", "_level", "_block"]).drop("_level", "_block")
+
+
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (path, start, stop, ...) with `owner`: the id of the narrowest span (path, id, lo, hi) that holds them, or null.
 
-    Joined on the path, so that a pair is made only within a file; of equal spans the least id.
+    start is at most stop. Pairs are made only of spans about a point (`span_pairs`); of equal spans the least id.
     """
     key = F.xxhash64(*[F.col(c) for c in points.columns])
     p = points.withColumn("_key", key)
-    inside = p.join(spans, "path").filter("lo <= start AND stop <= hi")
+    inside = span_pairs(p, spans).filter("lo <= start AND stop <= hi")
     best = inside.groupBy("_key").agg(F.min_by("id", F.struct(F.col("hi") - F.col("lo"), F.col("id"))).alias("owner"))
     return p.join(best, "_key", "left").drop("_key")
 

@@ -234,3 +234,16 @@ def test_regions_and_anchors(spark):
     assert [(r.unit, r["rank"]) for r in lexical.complementary(regions, "owner", "unit").orderBy("rank").collect()] == [(1, 0), (0, 1)]
     lines = spark.createDataFrame([("p", 1, "foo"), ("p", 2, "foo bar"), ("p", 3, "bar foo")], "k string, line int, content string")
     assert tuple(lexical.anchor_line(lines, "k", ["foo", "bar"]).first()) == ("p", 2, 2)
+
+
+def test_owners_by_brute_force_without_all_pairs_of_a_path(spark):
+    r = random.Random(4)
+    spans = [("p", i, lo, lo + r.choice([0, 1, 2, 7, 8, 30, 99])) for i, lo in enumerate(r.sample(range(-5000, 5000), 800))] + [("p", 900, -4000, 4000), ("q", 901, 5, 6)]
+    points = [("p", at, at + r.randint(0, 5)) for at in r.sample(range(-5100, 5100), 800)] + [("q", 5, 6), ("r", 5, 6)]
+    p, s = spark.createDataFrame(points, "path string, start long, stop long"), spark.createDataFrame(spans, "path string, id long, lo long, hi long")
+    want = {}
+    for path, start, stop in points:
+        held = [(hi - lo, i) for q, i, lo, hi in spans if q == path and lo <= start and stop <= hi]
+        want[path, start, stop] = min(held)[1] if held else None
+    assert {(x.path, x.start, x.stop): x.owner for x in graph.enclosing(p, s).collect()} == want
+    assert graph.span_pairs(p, s).count() < 20 * len(points)
