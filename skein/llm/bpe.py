@@ -17,59 +17,55 @@ from skein.llm.common import read, small_batches
 
 #: Words and cuts whose tokens a task remembers, and texts (characters) it encodes at a time.
 REMEMBERED, CHUNK_BYTES = 1_000_000, 4 << 20
-#: Bytes of the words that go through the recursion at a time, and from where on a word is a long one.
-_ROUND_BYTES, _LONG = 1 << 20, 64
+#: Token positions that go through the recursion at a time, and its rounds before only the last one's rows go on.
+PIECE, ROUNDS = 1 << 20, 8
 #: Cuts of a text whose ids are put together at a time.
 _CUTS = 1 << 18
 #: White space other than single spaces between other signs and what stands inside a cut.
 _ODD = re.compile(r"^\s|\s$| \s|\s ")
 
-#: One round of the recursion: each unfinished word's token positions joined with the rank of the pair that
-#: starts there; the word's least rank and, of the pairs that have it, the leftmost, in one number; that pair
-#: becomes one token and the position after it goes. Words without a pair are done: their last round counts.
+#: Token positions k with their block b (word << 32 | number) and token. A round joins each token and the next one with
+#: the merge table and contracts, at once, every pair that the one-by-one order (least rank, then leftmost) would come to
+#: as it stands now: nothing in its own block or a neighbouring one has a lower rank. A block is at least twice as long as
+#: the longest token that its bytes can make, so what happens further off can't grow a token up to the pair first. Short
+#: words are one block (number 0), so for them it is the word's least rank. Of pairs with one rank that overlap, every
+#: second one goes, from the left end of the chain, which waits while the pair before it has that rank but can't go yet.
+#: Where a pair's token can make a pair of a still lower rank, those of its rank right of it near by wait for it.
+#: Words without a pair are done: they have no rows in later rounds.
 ENCODE = """
-WITH RECURSIVE step AS (
-  SELECT w, pos, tok, 0 AS round FROM start
+WITH RECURSIVE step(k, b, tok, round) AS (
+  SELECT k, b, tok, 0 FROM start
   UNION ALL
-  (WITH paired AS MATERIALIZED (
-     SELECT p.*, (m.rank::BIGINT << 20) | p.pos AS pair
-     FROM (SELECT *, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS nxt, CASE WHEN lag(w) OVER o = w THEN lag(pos) OVER o ELSE -1 END AS prev
-           FROM step WINDOW o AS (ORDER BY w, pos)) p
-     LEFT JOIN merge m ON m.l = p.tok AND m.r = p.nxt
-   ), best AS (SELECT w, min(pair) AS least FROM paired WHERE pair IS NOT NULL GROUP BY w)
-   SELECT w, pos, CASE WHEN pos = (least & 1048575) THEN least >> 20 ELSE tok END::INTEGER AS tok, round + 1
-   FROM paired JOIN best USING (w) WHERE prev <> (least & 1048575))
+  (WITH p AS MATERIALIZED (
+     SELECT *, lead(tok) OVER o AS nxt, lead(k) OVER o AS next, lead(b) OVER o AS nb FROM step WHERE round < $rounds WINDOW o AS (ORDER BY k)
+   ), paired AS MATERIALIZED (
+     SELECT p.k, p.b, p.next, m.rank, m.safe FROM p JOIN merge m ON m.l = p.tok AND m.r = p.nxt WHERE p.nb <= p.b + 1
+   ), least AS MATERIALIZED (
+     SELECT b, min(rank) AS rank FROM paired GROUP BY b
+   ), near AS (
+     SELECT b, rank FROM least WHERE b & 4294967295 = 0
+     UNION ALL SELECT b + d.d, min(rank) FROM least, (VALUES (-1), (0), (1)) d(d) WHERE b & 4294967295 <> 0 GROUP BY ALL
+   ), first AS MATERIALIZED (
+     SELECT p.* FROM paired p JOIN near n ON n.b = p.b AND n.rank = p.rank WHERE p.b NOT IN (SELECT b FROM frozen)
+   ), harm AS MATERIALIZED (
+     SELECT f.b, f.rank, min(f.k) AS k FROM (SELECT f.*, after.tok AS after FROM first f JOIN p n ON n.k = f.next LEFT JOIN p after ON after.k = n.next WHERE NOT f.safe) f LEFT JOIN p before ON before.next = f.k
+     WHERE EXISTS (FROM merge m WHERE m.l = before.tok AND m.r = f.rank AND m.rank < f.rank) OR EXISTS (FROM merge m WHERE m.l = f.rank AND m.r = f.after AND m.rank < f.rank)
+       OR EXISTS (FROM merge m WHERE m.l = f.rank AND m.r = f.rank AND m.rank < f.rank) GROUP BY f.b, f.rank
+     UNION ALL SELECT b, rank, min(k) FROM paired WHERE NOT safe AND b & 4294967295 <> 0 AND k NOT IN (SELECT k FROM first) GROUP BY b, rank
+   ), calm AS (
+     SELECT f.k, f.next, f.b, f.rank FROM first f LEFT JOIN (SELECT b + d.d AS b, rank, min(k) AS k FROM harm, (VALUES (-1), (0), (1)) d(d) GROUP BY ALL) h ON h.b = f.b AND h.rank = f.rank WHERE h.k IS NULL OR f.k <= h.k
+   ), chained AS MATERIALIZED (
+     SELECT *, row_number() OVER o AS nth, coalesce(lag(next) OVER o = k AND lag(b) OVER o >= b - 1, false) AS goes_on FROM calm WINDOW o AS (ORDER BY k)
+   ), waiting AS (
+     SELECT c.nth AS head FROM chained c JOIN paired q ON q.next = c.k AND q.rank = c.rank WHERE NOT c.goes_on
+   ), hit AS MATERIALIZED (
+     SELECT k, b, next, rank FROM (SELECT *, max(CASE WHEN NOT goes_on THEN nth END) OVER (ORDER BY nth) AS head FROM chained) WHERE (nth - head) % 2 = 0 AND head NOT IN (SELECT head FROM waiting)
+   )
+   SELECT p.k, p.b, coalesce(h.rank, p.tok), round + 1 FROM p LEFT JOIN hit h ON h.k = p.k WHERE p.b >> 32 IN (SELECT b >> 32 FROM hit) AND p.k NOT IN (SELECT next FROM hit)
+  )
 )
-SELECT s.w, s.tok FROM step s JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) ORDER BY s.w, s.pos
-"""
-#: The same for long words, with fewer rounds. If no token that could come of the pair's has a lower rank, the
-#: other pairs of that rank go in the same round, from the left, every second one in a run of pairs that overlap.
-ENCODE_LONG = """
-WITH RECURSIVE step AS (
-  SELECT w, pos, tok, 0 AS round FROM start
-  UNION ALL
-  SELECT w, pos, CASE WHEN hit THEN rank ELSE tok END AS tok, round + 1 AS round
-  FROM (
-    SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS eaten
-    FROM (
-      SELECT *, coalesce(rank = least, false) AND
-        CASE WHEN sole THEN pos = leftmost
-             ELSE (nth - max(CASE WHEN rank IS DISTINCT FROM least THEN nth ELSE 0 END) OVER (PARTITION BY w ORDER BY pos)) % 2 = 1 END AS hit
-      FROM (
-        SELECT *, min(CASE WHEN rank = least THEN pos END) OVER (PARTITION BY w) AS leftmost,
-          row_number() OVER (PARTITION BY w ORDER BY pos) AS nth,
-          bool_or(rank = least AND NOT safe) OVER (PARTITION BY w) AS sole
-        FROM (
-          SELECT p.*, m.rank, m.safe, min(m.rank) OVER (PARTITION BY p.w) AS least
-          FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM step) p
-          LEFT JOIN merge m ON m.l = p.tok AND m.r = p.nxt
-        ) WHERE least IS NOT NULL
-      )
-    )
-  ) WHERE NOT eaten
-)
-SELECT w, tok FROM step QUALIFY round = max(round) OVER (PARTITION BY w) ORDER BY w, pos
-"""
+SELECT k, b, tok, step.round AS round FROM step JOIN (SELECT b >> 32 AS w, max(round) AS round FROM step GROUP BY w) l ON l.w = b >> 32 AND l.round = step.round ORDER BY k
+""".replace("$rounds", str(ROUNDS))
 DECODE = "SELECT d, string_agg(v.chars, '' ORDER BY pos) AS chars FROM tokens JOIN vocabulary v USING (tok) GROUP BY d ORDER BY d"
 
 
@@ -111,40 +107,83 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ranks, self.odd = ranks, _ODD if cut_at_spaces else re.compile("")
+        self.longest = sorted(ranks, key=len, reverse=True)
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Remember the ids of words as little-endian unsigned 32-bit integers: a token by itself has its own id,
-        any other word is contracted by the recursion."""
-        todo: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
+        """Remember the ids of words as little-endian unsigned 32-bit integers: a token by itself has its own id, as the
+        tiktoken library has it; any other word, of whatever length, is contracted by the recursion."""
+        held, size = [], 0
         for word in words:
             raw = word.encode()
             if (one := self.ranks.get(raw)) is not None:
                 self.known[word] = one.to_bytes(4, "little")
-            else:
-                todo[len(raw) > _LONG].append((word, raw))
-        for long, rows in todo.items():
-            held, size = [], 0
-            for i, row in enumerate(rows):
-                held.append(row)
-                size += len(row[1])
-                if size >= _ROUND_BYTES or i == len(rows) - 1:
-                    self._contract(held, ENCODE_LONG if long else ENCODE)
-                    held, size = [], 0
-
-    def _contract(self, rows: list[tuple[str, bytes]], query: str) -> None:
+                continue
+            held.append((word, raw))
+            size += len(raw)
+            if size >= PIECE:
+                self._contract(held)
+                held, size = [], 0
+        if held:
+            self._contract(held)
+
+    def _wide(self, raw: bytes) -> int:
+        """Twice the length of the longest token that is made of bytes of raw: the size of a block."""
+        own = bytes(set(raw))
+        return 2 * next((len(t) for t in self.longest if not t.translate(None, own)), 1)
+
+    def _contract(self, rows: list[tuple[str, bytes]]) -> None:
         size = np.array([len(raw) for _, raw in rows])
-        w = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-        pos = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self.db.register("start", pa.table({"w": w, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(raw for _, raw in rows), np.uint8)]}))
-        got = self.db.sql(query).to_arrow_table()
-        whole, at = got.column("tok").to_numpy().astype("<u4").tobytes(), 0
-        ends = np.cumsum(np.bincount(got.column("w").to_numpy(), minlength=len(rows))) * 4
+        alone = 2 * len(self.longest[0])
+        wide = self._wide(b"".join(raw for _, raw in rows if len(raw) > alone)) if (size > alone).any() else alone
+        w, k = np.repeat(np.arange(len(rows)), size), np.arange(size.sum())
+        block = (k - np.repeat(np.cumsum(size) - size, size)) // wide + 1
+        b = (w << 32) | np.where(np.repeat(size <= alone, size), 0, block)
+        tok = self.byte[np.frombuffer(b"".join(raw for _, raw in rows), np.uint8)]
+        piece = max(PIECE, 16 * wide)  # so that what stays as it is at one piece's end lies inside a piece of the next turn
+        done, turn, idle = [], 0, np.zeros(len(rows), np.int64)
+        while len(k):
+            got, cut = self._turn(k, b, tok, piece, piece // 2 * (turn % 2))
+            turn += 1
+            k, b, tok, rounds = (np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("k", "b", "tok", "round"))
+            most = np.zeros(len(rows), np.int64)
+            np.maximum.at(most, b >> 32, rounds)
+            idle = np.where(most > 0, 0, idle + 1)
+            # a word that was cut is done when nothing was found in two turns, whose pieces end at different places
+            open_ = np.where(np.isin(np.arange(len(rows)), cut), idle < 2, most == ROUNDS)[b >> 32]
+            done.append((k[~open_], b[~open_], tok[~open_]))
+            k, b, tok = k[open_], b[open_], tok[open_]
+        k, b, tok = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(k, kind="stable")
+        whole, at = tok[order].astype("<u4").tobytes(), 0
+        ends = np.cumsum(np.bincount(b >> 32, minlength=len(rows))) * 4
         for (word, _), end in zip(rows, ends.tolist()):
             self.known[word] = whole[at:end]
             at = end
 
+    def _turn(self, k: np.ndarray, b: np.ndarray, tok: np.ndarray, piece: int, shift: int) -> tuple[list[pa.Table], list[int]]:
+        """One run of the recursion over each piece of about `piece` positions, and the words that were cut.
+
+        Pieces end where blocks do. In a word that goes on beyond its piece the blocks at that end stay as they are.
+        """
+        ends = np.arange(piece - shift, len(b), piece) if len(b) > 2 * piece else np.zeros(0, np.int64)
+        ends = [0, *np.unique(np.searchsorted(b, b[ends])).tolist(), len(b)]
+        out, cut = [], []
+        for lo, hi in zip(ends, ends[1:]):
+            if lo == hi:
+                continue
+            frozen = []
+            if lo and b[lo - 1] >> 32 == b[lo] >> 32:
+                frozen.append(int(b[lo]))
+            if hi < len(b) and b[hi - 1] >> 32 == b[hi] >> 32:
+                frozen += [int(b[hi - 1]), int(b[hi - 1]) - 1]
+            cut += [x >> 32 for x in frozen]
+            self.db.register("start", pa.table({"k": k[lo:hi].astype(np.int32), "b": b[lo:hi], "tok": tok[lo:hi].astype(np.int32)}))
+            self.db.register("frozen", pa.table({"b": pa.array(frozen, pa.int64())}))
+            out.append(self.db.sql(ENCODE).to_arrow_table())
+        return out, cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Where no match of the pattern goes on over a single space between two signs that are
         no white space (cut_at_spaces), texts are cut there and each cut's ids remembered; others are matched whole."""
@@ -211,6 +250,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, cut_at_spaces:
     ranks_file and pattern: a rank file of base64 tokens with one for each byte, and the pattern whose matches
     are encoded by themselves; the driver reads the file and sends it along. cut_at_spaces: whether no match of the
     pattern goes on over a single space in front of a sign, which saves matching words again. A null or empty text has no tokens.
+    Texts and words of any length are encoded whole; of a word beyond PIECE bytes the recursion holds a piece at a time.
     Repeated rows and null doc_ids are answered like others; extra columns are not read.
     """
     small_batches(docs.sparkSession)

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 
 import numpy as np
 import pytest
@@ -43,7 +45,41 @@ def test_leftmost_pair_first_where_order_matters():
 
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    monkeypatch.setattr(bpe, "_ROUND_BYTES", 20)
+    monkeypatch.setattr(bpe, "PIECE", 20)
     c = bpe.Codec(bpe.load_ranks(open(FILE, "rb").read()), tokenizers_of_the_box.PATTERN)
     a = c.encode(["one two three four five six seven"] * 2 + ["eight nine ten"])
     assert a[0] == a[1] and c.decode(a)[2] == b"eight nine ten"
+
+
+def test_unbroken_words_of_any_length(reference):
+    r = random.Random(5)
+    c = bpe.Codec(bpe.load_ranks(open(FILE, "rb").read()), tokenizers_of_the_box.PATTERN)
+    words = ["".join(r.choice(string.ascii_letters) for _ in range(12_000)), "".join(r.choice(string.ascii_lowercase) for _ in range(100_000)), "a" * 50_000, "ab" * 50_000, "the" * 30_000 + "qz" * 9_000]
+    words += ["".join(r.choice("aàé日本x") for _ in range(20_000)), "".join(r.choice("ab") for _ in range(30_000)), "".join(r.choice(string.ascii_lowercase) for _ in range(1_000_000))]
+    for w in words:  # the library splits nothing here, and its whole-text call is not made for such words
+        assert np.frombuffer(c.encode([w])[0], "<u4").tolist() == reference._core_bpe.encode_single_piece(w.encode()), w[:9]
+
+
+@pytest.mark.parametrize("piece", [1, 1_000])
+def test_words_beyond_a_piece(reference, monkeypatch, piece):
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    r = random.Random(6)
+    c = bpe.Codec(bpe.load_ranks(open(FILE, "rb").read()), tokenizers_of_the_box.PATTERN)
+    for w in ("".join(r.choice(string.ascii_lowercase) for _ in range(2_500)), "a" * 3_000, "xy" + "ab" * 1_500, "".join(r.choice("aab") for _ in range(3_000)), "short words and one " + "".join(r.choice(string.ascii_letters) for _ in range(3_000)) + " more"):
+        assert np.frombuffer(c.encode([w])[0], "<u4").tolist() == reference.encode_ordinary(w), w[:9]
+
+
+def test_many_small_vocabularies():
+    """Rank tables in no order of length, on words of few letters, so that every rule about neighbours is met."""
+    import tiktoken
+
+    r = random.Random(8)
+    for _ in range(40):
+        more = list({bytes(r.choice(b"abc") for _ in range(r.randint(2, 5))) for _ in range(r.randint(3, 25))})
+        r.shuffle(more)
+        ranks = {t: i for i, t in enumerate([bytes([i]) for i in range(256)] + more)}
+        e = tiktoken.Encoding("small", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+        c = bpe.Codec(ranks, r"\S+|\s+")
+        for n in (7, 60, 300):
+            w = "".join(r.choice("abc") for _ in range(n)) if r.random() < 0.7 else ("abcab"[: r.randint(1, 5)] * n)[:n]
+            assert np.frombuffer(c.encode([w])[0], "<u4").tolist() == e.encode_ordinary(w), (w, more)
