@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +16,14 @@ from skein.llm.common import read, small_batches
 
 #: Words and cuts whose tokens a task remembers, and texts (characters) it encodes at a time.
 REMEMBERED, CHUNK_BYTES = 1_000_000, 4 << 20
-#: Token positions that go through the recursion at a time, and its rounds before only the last one's rows go on.
-PIECE, ROUNDS = 1 << 20, 8
+#: Token positions that go through the recursion at a time, and the rounds of so many before only the last one's rows
+#: go on (of fewer positions as many more, up to MOST_ROUNDS, for the same memory).
+PIECE, ROUNDS, MOST_ROUNDS = 1 << 20, 8, 32
 #: Cuts of a text whose ids are put together at a time.
 _CUTS = 1 << 18
 #: White space other than single spaces between other signs and what stands inside a cut.
-_ODD = re.compile(r"^\s|\s$| \s|\s ")
+_GAP = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_ODD = f"^{_GAP}|{_GAP}$| {_GAP}|{_GAP} "
 
 #: Token positions k with their block b (word << 32 | number) and token. A round joins each token and the next one with
 #: the merge table and contracts, at once, every pair that the one-by-one order (least rank, then leftmost) would come to
@@ -61,12 +62,12 @@ WITH RECURSIVE step(k, b, tok, round) AS (
    ), hit AS MATERIALIZED (
      SELECT k, b, next, rank FROM (SELECT *, max(CASE WHEN NOT goes_on THEN nth END) OVER (ORDER BY nth) AS head FROM chained) WHERE (nth - head) % 2 = 0 AND head NOT IN (SELECT head FROM waiting)
    )
-   SELECT p.k, p.b, coalesce(h.rank, p.tok), round + 1 FROM p LEFT JOIN hit h ON h.k = p.k WHERE p.b >> 32 IN (SELECT b >> 32 FROM hit) AND p.k NOT IN (SELECT next FROM hit)
+   SELECT p.k, p.b, coalesce(a.rank, p.tok), round + 1 FROM p LEFT JOIN (SELECT k, rank FROM hit UNION ALL SELECT next, -1 FROM hit) a ON a.k = p.k WHERE p.b >> 32 IN (SELECT b >> 32 FROM hit) AND a.rank IS DISTINCT FROM -1
   )
 )
 SELECT k, b, tok, step.round AS round FROM step JOIN (SELECT b >> 32 AS w, max(round) AS round FROM step GROUP BY w) l ON l.w = b >> 32 AND l.round = step.round ORDER BY k
-""".replace("$rounds", str(ROUNDS))
-DECODE = "SELECT d, string_agg(v.chars, '' ORDER BY pos) AS chars FROM tokens JOIN vocabulary v USING (tok) GROUP BY d ORDER BY d"
+"""
+DECODE = "SELECT d, array_to_string(list(v.chars ORDER BY pos), '') AS chars FROM tokens JOIN vocabulary v USING (tok) GROUP BY d ORDER BY d"
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -106,7 +107,7 @@ class Codec:
         self.db.execute("CREATE TABLE merge AS SELECT * FROM merge")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.ranks, self.odd = ranks, _ODD if cut_at_spaces else re.compile("")
+        self.ranks, self.cut_at_spaces = ranks, cut_at_spaces
         self.longest = sorted(ranks, key=len, reverse=True)
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -144,14 +145,15 @@ class Codec:
         piece = max(PIECE, 16 * wide)  # so that what stays as it is at one piece's end lies inside a piece of the next turn
         done, turn, idle = [], 0, np.zeros(len(rows), np.int64)
         while len(k):
-            got, cut = self._turn(k, b, tok, piece, piece // 2 * (turn % 2))
+            some = min(MOST_ROUNDS, max(ROUNDS, ROUNDS * PIECE // len(k)))
+            got, cut = self._turn(k, b, tok, piece, piece // 2 * (turn % 2), ENCODE.replace("$rounds", str(some)))
             turn += 1
             k, b, tok, rounds = (np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("k", "b", "tok", "round"))
             most = np.zeros(len(rows), np.int64)
             np.maximum.at(most, b >> 32, rounds)
             idle = np.where(most > 0, 0, idle + 1)
             # a word that was cut is done when nothing was found in two turns, whose pieces end at different places
-            open_ = np.where(np.isin(np.arange(len(rows)), cut), idle < 2, most == ROUNDS)[b >> 32]
+            open_ = np.where(np.isin(np.arange(len(rows)), cut), idle < 2, most == some)[b >> 32]
             done.append((k[~open_], b[~open_], tok[~open_]))
             k, b, tok = k[open_], b[open_], tok[open_]
         k, b, tok = (np.concatenate(x) for x in zip(*done))
@@ -162,7 +164,7 @@ class Codec:
             self.known[word] = whole[at:end]
             at = end
 
-    def _turn(self, k: np.ndarray, b: np.ndarray, tok: np.ndarray, piece: int, shift: int) -> tuple[list[pa.Table], list[int]]:
+    def _turn(self, k: np.ndarray, b: np.ndarray, tok: np.ndarray, piece: int, shift: int, query: str) -> tuple[list[pa.Table], list[int]]:
         """One run of the recursion over each piece of about `piece` positions, and the words that were cut.
 
         Pieces end where blocks do. In a word that goes on beyond its piece the blocks at that end stay as they are.
@@ -181,7 +183,7 @@ class Codec:
             cut += [x >> 32 for x in frozen]
             self.db.register("start", pa.table({"k": k[lo:hi].astype(np.int32), "b": b[lo:hi], "tok": tok[lo:hi].astype(np.int32)}))
             self.db.register("frozen", pa.table({"b": pa.array(frozen, pa.int64())}))
-            out.append(self.db.sql(ENCODE).to_arrow_table())
+            out.append(self.db.sql(query).to_arrow_table())
         return out, cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -190,7 +192,8 @@ class Codec:
         if len(self.tails) + len(self.known) > REMEMBERED:
             self.tails.clear()
             self.known.clear()
-        heads, rests = zip(*((t, None) if self.odd.search(t) else t.partition(" ")[::2] for t in texts)) if texts else ((), ())
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_pylist() if self.cut_at_spaces else [True] * len(texts)
+        heads, rests = zip(*((t, None) if o else t.partition(" ")[::2] for t, o in zip(texts, odd))) if texts else ((), ())
         cuts = pc.split_pattern(pa.array([r or None for r in rests], pa.large_string()), " ")
         coded = cuts.flatten().dictionary_encode()
         different = coded.dictionary.to_pylist()
