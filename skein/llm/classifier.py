@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import operator
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,56 +13,69 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read, scratch, small_batches, texts, word_pieces
+from skein.llm.common import discard, read, scratch, small_batches, texts, word_pieces
 
 #: Hashed features: word shapes below SHAPES; above, the step on which each of a text's rates stands.
 DIMS, SHAPES = 4096, 4032
 LABELLERS = 8
+#: The scorer's L2 penalty, and how often its loss and gradient are taken over all documents at most.
+PENALTY, PASSES = 1e-4, 25
+#: Gradients are summed in whole multiples of this, so that the order of documents and partitions changes nothing.
+_UNIT = 2.0**-32
 _RATE_STEPS, _LENGTH_STEPS = (0.02, 0.1, 0.25, 0.5), (1.5, 2.5, 8, 12, 20)
 _TABLE = bytes(
     (0x30 if 0x30 <= i <= 0x39 else 0x41 if 0x41 <= i <= 0x5A else 0x61 if 0x61 <= i <= 0x7A or i >= 0x80 else i) for i in range(256)
 )
 
 
+_RUN = re.compile(rb"(.)\1{2,}", re.S)
+
+
 class Shapes(dict):
-    """word -> number of its shape; a shape has letters as a or A, digits as 0, and runs cut to two signs."""
+    """word -> number of its row; words of one shape and length share it.
+
+    The shape of a word, however long, has letters as a or A, digits as 0, and runs cut to two signs. What is
+    remembered is bounded by `tidy`, long words are not remembered, and neither changes what a row holds.
+    """
 
-    LIMIT = 200_000
+    LIMIT, LONG = 200_000, 64
 
     def __init__(self) -> None:
         super().__init__()
-        self.known: dict[bytes, int] = {}
+        self.known: dict[tuple[bytes, int], int] = {}
         self.rows: list[tuple[int, ...]] = []
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
+    def tidy(self) -> None:
+        """Between two texts: forget all numbers given out if they are many."""
+        if len(self) + len(self.rows) >= self.LIMIT:
             self.clear()
-        if len(word) > 64:
-            word = word[:64]
-        shape = bytearray()
-        for c in word.translate(_TABLE):
-            if len(shape) < 2 or shape[-1] != c or shape[-2] != c:
-                shape.append(c)
-        key = bytes(shape[:24]) + bytes([min(len(word), 32)])
-        no = self.known.get(key)
+            self.known.clear()
+            self.rows.clear()
+
+    def __missing__(self, word: bytes) -> int:
+        shape = _RUN.sub(rb"\1\1", word.translate(_TABLE))
+        short = len(word) < self.LONG
+        no = self.known.get((shape, len(word))) if short else None
         if no is None:
-            s = bytes(shape[:24])
-            letters = sum(c in b"aA" for c in s)
-            signs = any(s[i] == s[i + 1] and s[i] not in b"aA0" for i in range(len(s) - 1))
-            no = self.known[key] = len(self.rows)
+            no = len(self.rows)
+            letters = shape.count(b"a") + shape.count(b"A")
+            twice = re.search(rb"([^aA0])\1", shape, re.S) is not None
             self.rows.append(
                 (
-                    xxhash.xxh32_intdigest(s) % SHAPES, signs, letters and not s.count(b"a"), not letters and not s.count(b"0"),
-                    s[-1:] in (b".", b"!", b"?", b",") and s[-2:-1] == b"a", letters and len(word) <= 4, len(word),
+                    xxhash.xxh32_intdigest(shape) % SHAPES, twice, letters and not shape.count(b"a"), not letters and not shape.count(b"0"),
+                    shape[-1:] in (b".", b"!", b"?", b",") and shape[-2:-1] == b"a", letters and len(word) <= 4, len(word),
                 )
             )
-        if len(word) < 64:
+            if short:
+                self.known[shape, len(word)] = no
+        if short:
             self[word] = no
         return no
 
 
 def describe(shapes: Shapes, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Numbers of the shapes of a text, how often each occurs, and how many words repeat the one before."""
+    shapes.tidy()
     total: dict[int, int] = {}
     again, last = 0, None
     for words in word_pieces(text):
@@ -69,9 +83,9 @@ def describe(shapes: Shapes, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
             continue
         again += sum(map(operator.eq, words, words[1:])) + (words[0] == last)
         last = words[-1]
-        count = np.bincount(np.fromiter(map(shapes.__getitem__, words), np.int64, len(words)))
-        for i in np.nonzero(count)[0].tolist():
-            total[i] = total.get(i, 0) + int(count[i])
+        number, count = np.unique(np.fromiter(map(shapes.__getitem__, words), np.int64, len(words)), return_counts=True)
+        for i, n in zip(number.tolist(), count.tolist()):
+            total[i] = total.get(i, 0) + n
     return np.array(list(total), np.int64), np.array(list(total.values()), np.float64), again
 
 
@@ -136,95 +150,154 @@ def estimate(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, flo
     return dict(zip(keys, good.tolist())), [(float(table[i, 0, 1]), float(table[i, 1, 2])) for i in range(LABELLERS)]
 
 
-def _features(shapes: Shapes, no: np.ndarray, count: np.ndarray, again: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a text with words and their values: the share of each shape, and one for the step of each rate."""
+def features(shapes: Shapes, no: np.ndarray, count: np.ndarray, again: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text with words, ascending, and their values: the share of each shape, and 1 for the step of each rate."""
+    share = np.bincount([shapes.rows[i][0] for i in no], count, SHAPES)
+    at = np.nonzero(share)[0]
     r = rates(shapes, no, count, again)
     steps = [SHAPES + 8 * i + int(np.searchsorted(_LENGTH_STEPS if i == 5 else _RATE_STEPS, x)) for i, x in enumerate(r)]
-    return np.array([shapes.rows[i][0] for i in no] + steps, np.int64), np.concatenate([count / count.sum(), np.ones(len(steps))])
-
+    return np.concatenate([at, np.array(steps, np.int64)]), np.concatenate([share[at] / count.sum(), np.ones(len(steps))]).astype(np.float32)
 
-def _score(weight: np.ndarray, shapes: Shapes, text: bytes) -> float | None:
-    d = describe(shapes, text)
-    if not len(d[1]):
-        return None
-    at, x = _features(shapes, *d)
-    return round(float(weight[at] @ x), 6)
 
+_FEATURES = "doc_id long, pattern int, at array<int>, x array<float>"
 
-def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, list[tuple[float, float]]]:
-    """Posteriors by vote pattern, weights of the hashed features, accuracies of the labellers; from all documents.
 
-    What the driver gets is bounded: at most 3 ** LABELLERS patterns and 2 * DIMS sums. A weight is the log
-    ratio of a feature's share in good and in bad texts, each text counting by its posterior.
-    """
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, pattern, at, x: the votes on each text and its features, none for a text without words."""
     small_batches(docs.sparkSession)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
-        sums: dict[int, np.ndarray] = {}  # by pattern: documents, then features
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, none = Shapes(), (np.zeros(0, np.int64), np.zeros(0, np.float32))
         for b in batches:
+            pattern, got = [], []
             for t in texts(b):
                 d = describe(shapes, t)
-                p = votes(shapes, *d)
-                row = sums.get(p)
-                if row is None:
-                    row = sums[p] = np.zeros(DIMS + 1)
-                row[0] += 1
-                if len(d[1]):
-                    np.add.at(row[1:], *_features(shapes, *d))
-            if len(sums) > 1000:
-                yield from emit(sums)
-                sums = {}
-        yield from emit(sums)
-
-    def emit(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for p, row in sums.items():
-            at = np.nonzero(row)[0]
-            cols = [pa.array(np.full(len(at), p, np.int32)), pa.array(at.astype(np.int32) - 1), pa.array(row[at])]
-            yield pa.RecordBatch.from_arrays(cols, names=["pattern", "feature", "x"])
-
-    sums = docs.select("text").mapInArrow(judge, "pattern int, feature int, x double")
-    sums = scratch(sums.groupBy("pattern", "feature").agg(F.sum("x").alias("x")), "votes")
-    seen = {r[0]: int(r[1]) for r in sums.filter("feature < 0").select("pattern", "x").collect()}
+                pattern.append(votes(shapes, *d))
+                got.append(features(shapes, *d) if len(d[1]) else none)
+            ends = pa.array(np.cumsum([0] + [len(at) for at, _ in got]).astype(np.int32))
+            flat = [np.concatenate([g[i] for g in got]) for i in (0, 1)]
+            cols = [b.column(0), pa.array(pattern, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat[0].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(flat[1]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pattern", "at", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, _FEATURES)
+
+
+def _margins(weight: np.ndarray, at: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of texts with `size` features each: the sum of their values times weights, and the bias."""
+    text = np.repeat(np.arange(len(size)), size)
+    return np.bincount(text, weight[at] * x, len(size)) + weight[DIMS]
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, x = b.column(b.schema.get_field_index("at")), b.column(b.schema.get_field_index("x"))
+    return at.flatten().to_numpy(), x.flatten().to_numpy().astype(np.float64), at.value_lengths().to_numpy()
+
+
+def gradient(rows: DataFrame, good: dict[int, float], weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sums over all texts with words of the logistic loss against the posteriors and of its gradient, the bias last.
+
+    Each task adds up what its texts bring; at most DIMS + 2 sums reach the driver.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMS + 2, np.int64)
+        for b in batches:
+            at, x, size = _flat(b)
+            some = size > 0
+            y = np.array([good[p] for p in b.column(b.schema.get_field_index("pattern")).to_pylist()])
+            z = _margins(weight, at, x, size)
+            off = np.where(some, 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y, 0.0)
+            loss = np.where(some, np.logaddexp(0, z) - y * z, 0.0)
+            whole = lambda v: np.rint(v / _UNIT)
+            total[:DIMS] += np.bincount(at, whole(np.repeat(off, size) * x), DIMS).astype(np.int64)
+            total[DIMS] += int(whole(off).sum())
+            total[DIMS + 1] += int(whole(loss).sum())
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "x"])
+
+    out = np.zeros(DIMS + 2)
+    sums = rows.select("pattern", "at", "x").mapInArrow(each, "feature int, x long").groupBy("feature")
+    for r in sums.agg(F.sum(F.col("x").cast("decimal(28,0)")).alias("x")).collect():
+        out[r["feature"]] = float(r["x"]) * _UNIT
+    return float(out[DIMS + 1]), out[: DIMS + 1]
+
+
+def fit(loss_of, size: int, passes: int = PASSES) -> np.ndarray:
+    """The least of a smooth convex function by limited-memory BFGS; loss_of(w) gives (loss, gradient), at most `passes` times."""
+    w = np.zeros(size)
+    loss, g = loss_of(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    left = passes - 1
+    while left > 0 and np.abs(g).max() > 1e-6:
+        d, back = -g, []
+        for s, y in reversed(past):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            back.append(a)
+        if past:
+            d = d * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(back)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step = 1.0 if past else min(1.0, 1 / np.abs(g).sum()) * 10
+        while left > 0:
+            left -= 1
+            new, ng = loss_of(w + step * d)
+            if new <= loss + 1e-4 * step * (g @ d):
+                break
+            step /= 4
+        else:
+            break
+        if (ng - g) @ d > 1e-12:
+            past = [*past, (step * d, ng - g)][-8:]
+        w, loss, g = w + step * d, new, ng
+    return w
+
+
+def train(rows: DataFrame) -> tuple[dict[int, float], np.ndarray, list[tuple[float, float]]]:
+    """From `described` rows: posteriors by vote pattern, weights of the features and the bias, accuracies of the labellers.
+
+    All documents count. What the driver gets is bounded: at most 3 ** LABELLERS patterns and, for each pass, DIMS + 2
+    sums. The scorer is logistic regression on the posteriors as soft labels, with an L2 penalty on all but the bias.
+    """
+    seen = {r[0]: r[1] for r in rows.groupBy("pattern").count().collect()}
     good, accuracy = estimate(seen)
-    spark = docs.sparkSession
-    table = spark.createDataFrame(list(good.items()) or [(0, 0.5)], "pattern int, good double")
-    mass = sums.filter("feature >= 0").join(F.broadcast(table), "pattern").groupBy("feature")
-    mass = mass.agg(F.sum(F.col("x") * F.col("good")).alias("g"), F.sum(F.col("x") * (1 - F.col("good"))).alias("b")).collect()
-    share = np.full((2, DIMS), 0.01)
-    for r in mass:
-        share[:, r["feature"]] += (r["g"], r["b"])
-    share /= share.sum(axis=1, keepdims=True)
-    return good, np.round(np.log(share[0] / share[1]), 6), accuracy
+    n = max(1, sum(seen.values()))
+    free = np.append(np.ones(DIMS), 0.0)
+
+    def loss_of(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = gradient(rows, good, w)
+        return loss / n + PENALTY / 2 * float(free @ (w * w)), g / n + PENALTY * free * w
+
+    return good, np.round(fit(loss_of, DIMS + 1) if seen else np.zeros(DIMS + 1), 6), accuracy
 
 
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, posterior, score, keep: the weak labels' posterior and the linear score of each document.
 
-    The score is the sum of a document's features times their weights; it is kept from 0 on. A text without words,
-    null or empty, has the score null and is rejected. Repeated rows and null doc_ids are judged like others.
+    The score is the sum of a document's features times their weights and the bias; it is kept from 0 on. A text without
+    words, null or empty, has the score null and is rejected. Repeated rows and null doc_ids are judged like others; extra
+    columns are not read. Whole texts and whole words count, however long. The order and the partitions of the rows change
+    nothing. Texts are read once, later passes read their features.
     """
-    good, weight, _ = train(docs)
+    rows = scratch(described(docs), "features")
+    good, weight, _ = train(rows)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
         for b in batches:
-            post, score = [], []
-            for t in texts(b):
-                d = describe(shapes, t)
-                post.append(good.get(votes(shapes, *d)))
-                score.append(_score(weight, shapes, t))
-            keep = [s is not None and s >= 0 for s in score]
-            cols = [b.column(0), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(keep, pa.bool_()), b.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "posterior", "score", "keep", "key"])
+            at, x, size = _flat(b)
+            z = [round(s, 6) if n else None for s, n in zip(_margins(weight, at, x, size).tolist(), size.tolist())]
+            post = pa.array([good[p] for p in b.column(1).to_pylist()], pa.float64())
+            cols = [b.column(0), post, pa.array(z, pa.float64()), pa.array([s is not None and s >= 0 for s in z], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "posterior", "score", "keep"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    return rows.mapInArrow(each, "doc_id long, posterior double, score double, keep boolean, key long")
+    return rows.mapInArrow(each, "doc_id long, posterior double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with the columns they have."""
-    _, weight, _ = train(docs)
+    """The documents that `classify` keeps, with the columns they have; extra columns may have any names."""
+    rows = scratch(described(docs), "features")
+    _, weight, _ = train(rows)
+    discard(rows)
 
     @F.pandas_udf("boolean")
     def good(text):
@@ -232,12 +305,16 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
         shapes, out = Shapes(), []
         for t in text:
-            score = _score(weight, shapes, t.encode() if t is not None else b"")
-            out.append(score is not None and score >= 0)
+            d = describe(shapes, t.encode() if t is not None else b"")
+            if len(d[1]):
+                at, x = features(shapes, *d)
+                out.append(round(float(_margins(weight, at, x.astype(np.float64), np.array([len(at)]))[0]), 6) >= 0)
+            else:
+                out.append(False)
         return pd.Series(out, dtype=bool)
 
     return docs.filter(good("text"))
 
 
 def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(read(spark, sf_dir, "documents")).drop("key")
+    return classify(read(spark, sf_dir, "documents"))
