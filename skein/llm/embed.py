@@ -11,27 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, read, runs, scratch, small_batches, tiles
+from skein.llm.common import components, discard, read, runs, scratch, small_batches, tiles
 
 COSINE = 0.93
-#: Neighbours on either side in the sorted order that a vector is compared with.
-WINDOW = 48
-#: Chance to be found over all passes that a pair just at COSINE is to have.
-RECALL = 0.99
+#: Neighbours on either side in the sorted order that a vector is compared with; twice as many after every PASSES passes.
+WINDOW, PASSES = 48, 8
+#: Share of the probes that passes are made until: about PROBES of the vectors, each with a twin at COSINE from it in a
+#: random direction. They only say when to stop; every vector takes part in every pass.
+RECALL, PROBES = 0.99, 2_000
+LEAST_PASSES = 3
 BITS = 62
 TILE_ROWS = 1024
 _BLOCK = 4096
 
 
-def passes(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes that n vectors need: a pair shares the bits that narrow n vectors to a window with some chance in each."""
-    same = 1 - math.acos(min(1.0, cosine)) / math.pi
-    bits = max(0.0, math.log2(max(n, 2) / window))
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, same**bits))))
-
-
-def _unit(t: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.float64) for x in t.column("v").to_pylist()]
+def _unit(t: pa.Table | pa.RecordBatch, column: str | int = "v") -> list[np.ndarray]:
+    return [np.frombuffer(x, np.float64) for x in t.column(column).to_pylist()]
 
 
 @functools.lru_cache(maxsize=8)
@@ -54,7 +49,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Equal vectors of a label are one class and count as linked to each other. In each pass the classes
     stand in the order of their hashes, and a class is compared with WINDOW others on either side; what is
-    found joins components. Within a component all pairs are then compared in blocks, so a window does not
+    found joins components. Passes go on until probes at the threshold are found, whatever the vectors' distribution. Within a component all pairs are then compared in blocks, so a window does not
     limit n_links; recall is short only of pairs that no pass and no chain of links brings together. A null
     label, a null, empty or zero vector and one with a null or non-finite component link with nothing.
     A null vec_id: its row stays and counts for others, and is no component's id. Repeated rows count each.
@@ -77,13 +72,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=["node", "label", "copies", "v"])
 
     cls = scratch(cls.select(node.alias("node"), "label", "copies", "embedding").mapInArrow(normal, "node long, label long, copies long, v binary"), "classes")
-    most = cls.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    found = [cls.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)]
-    for no in range(passes(most, cosine) if most > 1 else 0):
-        found.append(_one_pass(cls, no, cosine))
-    links = found[0]
-    for f in found[1:]:
-        links = links.unionAll(f)
+    links = _passes(cls, cosine)
     comp = scratch(components(links, "a", "b"), "components")
     inside = cls.join(comp, "node").select("component", "node", "copies", "v")
     counted = tiles(inside, ["component"], "node", TILE_ROWS).mapInArrow(_count(cosine), "node long, more long")
@@ -100,39 +89,110 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     return joined.unionAll(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _one_pass(cls: DataFrame, no: int, cosine: float) -> DataFrame:
-    """a, b: verified links between classes at most WINDOW places apart in the order of pass `no`."""
+def _centred(cls: DataFrame) -> DataFrame:
+    """node, label, v and c: v less the mean of its label, which hyperplanes through the origin divide more evenly."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for label, v in zip(b.column(0).to_pylist(), _unit(b, 1)):
+                at = sums.setdefault((label, len(v)), [0, np.zeros(len(v))])
+                at[0] += 1
+                at[1] += v
+        rows = [(label, size, n, x.tobytes()) for (label, size), (n, x) in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["label", "dim", "n", "x"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        x = sum(np.frombuffer(v, np.float64) for v in t.column("x").to_pylist()) / sum(t.column("n").to_pylist())
+        return pa.table({"label": t.column("label").slice(0, 1), "dim": t.column("dim").slice(0, 1), "mean": pa.array([x.tobytes()], pa.binary())})
+
+    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = [(v - m).astype(np.float32).tobytes() for v, m in zip(_unit(b, 2), _unit(b, 3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(c, pa.binary())], names=["node", "label", "v", "c"])
+
+    parts = cls.select("label", "v").mapInArrow(add, "label long, dim int, n long, x binary")  # a row for each task and label
+    means = parts.groupBy("label", "dim").applyInArrow(mean, "label long, dim int, mean binary")
+    rows = cls.select("node", "label", "v", F.floor(F.octet_length("v") / 8).cast("int").alias("dim")).join(means, ["label", "dim"])
+    return rows.select("node", "label", "v", "mean").mapInArrow(less, "node long, label long, v binary, c binary")
+
+
+def _probes(rows: DataFrame, cosine: float) -> DataFrame:
+    """Twins (node, label, v, c) at `cosine` from about PROBES of the rows, under their nodes."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vs, cs = [], []
+            for node, v, c in zip(b.column(0).to_pylist(), _unit(b, 2), b.column(3).to_pylist()):
+                u = np.random.default_rng(node & 0x7FFFFFFFFFFFFFFF).standard_normal(len(v))
+                u -= (u @ v) * v
+                t = cosine * v + math.sqrt(1 - cosine * cosine) * u / np.sqrt(u @ u)
+                vs.append(t.tobytes())
+                cs.append((t - v + np.frombuffer(c, np.float32)).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vs, pa.binary()), pa.array(cs, pa.binary())], names=["node", "label", "v", "c"])
+
+    step = max(1, rows.count() // PROBES)
+    some = rows.filter(F.octet_length("v") > 8).filter(F.pmod(F.xxhash64("node", F.lit("probe")), F.lit(step)) == 0)
+    return some.mapInArrow(turn, "node long, label long, v binary, c binary")
+
+
+def _passes(cls: DataFrame, cosine: float) -> DataFrame:
+    """a, b: the verified links of as many passes as it takes to bring RECALL of the probes beside their originals."""
+    spark = cls.sparkSession
+    found = [cls.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)]
+    many = cls.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
+    rows = scratch(_centred(cls.join(many, "label", "left_semi")), "centred")
+    probes = scratch(_probes(rows, cosine), "probes")
+    wanted, met, no, window = probes.count(), set(), 0, WINDOW
+    both = rows.withColumn("probe", F.lit(False)).unionAll(probes.withColumn("probe", F.lit(True)))
+    while not rows.isEmpty() and (no < LEAST_PASSES or len(met) < RECALL * wanted):
+        one = scratch(_one_pass(both, no, cosine, window), "pass")
+        found.append(one.filter("NOT probe").select("a", "b"))
+        met |= {r[0] for r in one.filter("probe").select("a").collect()}  # at most as many as there are probes
+        no += 1
+        window *= 2 if no % PASSES == 0 else 1
+    discard(rows, probes)
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def _one_pass(rows: DataFrame, no: int, cosine: float, window: int) -> DataFrame:
+    """a, b, probe: verified links between classes at most `window` places apart in the order of pass `no`, and the
+    nodes (as a) whose probe stands so near."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = _keys([np.frombuffer(x, np.float64) for x in b.column(2).to_pylist()], no)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], names=["node", "label", "v", "key"])
+            key = _keys([np.frombuffer(x, np.float32).astype(np.float64) for x in b.column(3).to_pylist()], no)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(key)], names=["node", "label", "v", "probe", "key"])
 
-    rows = cls.select("node", "label", "v").mapInArrow(keyed, "node long, label long, v binary, key long")
-    parts = int(cls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "label", "key", "node").sortWithinPartitions("label", "key", "node")
-    placed = scratch(rows.withColumn("id", F.monotonically_increasing_id()).select("node", "label", "v", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("place")), "sorted")
+    spark = rows.sparkSession
+    rows = rows.select("node", "label", "v", "c", "probe").mapInArrow(keyed, "node long, label long, v binary, probe boolean, key long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "label", "key", "node").sortWithinPartitions("label", "key", "node", "probe")
+    placed = scratch(rows.withColumn("id", F.monotonically_increasing_id()).select("node", "label", "v", "probe", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("place")), "sorted")
     sizes = sorted((r[0], r[1]) for r in placed.groupBy("part").count().collect())  # one row for each partition
     before, upto = [], 0
     for p, n in sizes:
         before.append((p, upto))
         upto += n
-    offset = cls.sparkSession.createDataFrame(before, "part int, before long")
+    offset = spark.createDataFrame(before, "part int, before long")
     at = placed.join(F.broadcast(offset), "part").withColumn("place", F.col("place") + F.col("before"))
-    own = F.floor(F.col("place") / _BLOCK)
-    nxt = F.floor((F.col("place") + WINDOW) / _BLOCK)  # the last rows of a block are shown to the next one too
+    block = max(_BLOCK, 2 * window)
+    own = F.floor(F.col("place") / block)
+    nxt = F.floor((F.col("place") + window) / block)  # the last rows of a block are shown to the next one too
     at = at.withColumn("block", F.explode(F.array_distinct(F.array(own, nxt)))).drop("part", "before")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("place")
-        node, label, place = (t.column(c).to_numpy() for c in ("node", "label", "place"))
-        home = place // _BLOCK == t.column("block")[0].as_py()
-        v = _unit(t)
-        a, b = [], []
+        node, label, place, probe = (t.column(c).to_numpy() for c in ("node", "label", "place", "probe"))
+        home = place // block == t.column("block")[0].as_py()
+        v = _unit(t, "v")
+        a, b, tried = [], [], []
         same_size = len({len(x) for x in v}) == 1
         m = np.stack(v) if same_size else None
-        for d in range(1, min(WINDOW, len(node) - 1) + 1):
+        for d in range(1, min(window, len(node) - 1) + 1):
             i = np.nonzero((label[d:] == label[:-d]) & home[d:] & (place[d:] - place[:-d] == d))[0]
+            tried.append(node[i[(node[i] == node[i + d]) & (probe[i] != probe[i + d])]])
+            i = i[~probe[i] & ~probe[i + d]]
             if same_size:
                 cos = np.einsum("ij,ij->i", m[i], m[i + d])
             else:
@@ -141,9 +201,10 @@ def _one_pass(cls: DataFrame, no: int, cosine: float) -> DataFrame:
             a.append(node[i])
             b.append(node[i + d])
         none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+        a, b, tried = (np.concatenate(x or none) for x in (a, b, tried))
+        return pa.table({"a": np.concatenate([a, tried]), "b": np.concatenate([b, tried]), "probe": np.arange(len(a) + len(tried)) >= len(a)})
 
-    return at.groupBy("block").applyInArrow(compare, "a long, b long")
+    return at.groupBy("block").applyInArrow(compare, "a long, b long, probe boolean")
 
 
 def _count(cosine: float):

@@ -59,5 +59,32 @@ def test_unfit_vectors_link_with_nothing(spark):
     assert embed.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_more_vectors_need_more_passes():
-    assert embed.passes(100) < embed.passes(1_000_000)
+@pytest.mark.parametrize("shared", [0.0, 0.7])
+def test_recall_in_a_large_label(spark, monkeypatch, shared):
+    """Isolated pairs just at the threshold among vectors of one label that have a direction in common."""
+    monkeypatch.setattr(embed, "PROBES", 300)
+    monkeypatch.setattr(embed, "WINDOW", 16)
+    r = np.random.default_rng(5)
+    n, dim = 6_000, 32
+    x = r.normal(size=(n, dim)) / np.sqrt(dim)
+    x = np.sqrt(1 - shared) * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(shared) * np.eye(dim)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.normal(size=(600, dim))
+    u -= (u * x[:600]).sum(1, keepdims=True) * x[:600]
+    near = 0.935 * x[:600] + np.sqrt(1 - 0.935**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    v = np.concatenate([x, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, a, 1) for i, a in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int")
+    w = v.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    links = (w @ w.T >= 0.93).sum(1) - 1
+    got = np.zeros(len(v), int)
+    for row in embed.near_vectors(df).collect():
+        got[row.vec_id] = row.n_links
+    assert (got <= links).all() and got.sum() >= 0.97 * links.sum() >= 0.97 * 1200
+
+
+def test_a_long_chain_of_different_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embed, "TILE_ROWS", 16)
+    angle = [i * 0.3 for i in range(20)]  # neighbours are linked, others are not
+    rows = [(100 - i, [float(np.cos(a)), float(np.sin(a)), 0.0], 4) for i, a in enumerate(angle)]
+    assert result(spark, rows) == brute(rows)
