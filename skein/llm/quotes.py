@@ -22,17 +22,24 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\r?\n"), line)
 
 
-def _passages(lines: Column) -> Column:
-    """Runs of lines of one quote level, joined by line ends; level 0 is the message's own text."""
-    none = F.array().cast("array<struct<level:int,t:string>>")
+def _parsed(rows: DataFrame) -> DataFrame:
+    """The rows with `_lines` and `_passages`: runs of lines of one quote level, joined by line ends; level 0 is own text.
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        more = F.struct(last["level"].alias("level"), F.concat(last["t"], F.lit("\n"), x["t"]).alias("t"))
-        same = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["level"] == x["level"])
-        return F.when(same, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(done, F.array(x)))
+    Each array is made once, behind an explode of one row, so that the lambdas below look it up and the work is
+    linear in the lines of a message.
+    """
+    once = lambda df, x, name: df.select("*", F.explode(F.array(x)).alias(name))
+    rows = once(rows, _lines(F.col("text")), "_lines")
+    level = lambda i: F.get("_lines", i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    rows = once(rows, starts, "_starts")
+
+    def passage(i, n):
+        stop = F.coalesce(F.get("_starts", n + 1), F.size("_lines"))
+        t = F.transform(F.slice("_lines", i + 1, stop - i), lambda x: x["t"])
+        return F.struct(level(i).alias("level"), F.array_join(t, "\n").alias("t"))
 
-    return F.aggregate(lines, none, lambda d, x: F.when(F.size(d) == 0, F.array(x)).otherwise(add(d, x)))
+    return once(rows, F.transform("_starts", passage), "_passages").drop("_starts")
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -43,21 +50,19 @@ def link(messages: DataFrame) -> DataFrame:
     quoting one. A message replies to the original of its shallowest quote; among these, to the one with the most
     finds, then to the latest.
     """
-    parsed = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
-    quoting = parsed.filter(F.col("text").rlike(r"(?m)^[ \t]*>"))
-    passage = quoting.select("conv_id", "turn", F.explode(_passages(_lines(F.col("text")))).alias("p")).filter("p.level > 0")
+    whole = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    has = F.col("text").rlike(r"(?m)^[ \t]*>")
+    parsed = scratch(_parsed(whole.filter(has).select("conv_id", "turn", "text")).select("conv_id", "turn", "_lines", "_passages"), "parsed")
+    passage = parsed.select("conv_id", "turn", F.explode("_passages").alias("p")).filter("p.level > 0")
     unit = lambda t: F.array_distinct(F.concat(F.array(normal(t)), F.transform(F.split(t, "\n"), normal)))
     quoted = passage.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(unit(F.col("p.t"))).alias("t")).filter("t <> ''")
     quoted = scratch(quoted.select("conv_id", "turn", "level", F.md5("t").alias("h")).distinct(), "quoted")
-    own_lines = F.filter(_lines(F.col("text")), lambda x: x["level"] == 0)
-    own_passages = F.filter(_passages(_lines(F.col("text"))), lambda x: x["level"] == 0)
-    has = F.col("text").rlike(r"(?m)^[ \t]*>")
-    plain = F.split("text", "\r?\n")
-    whole = F.when(has, F.concat_ws("\n", F.transform(own_lines, lambda x: x["t"]))).otherwise(F.col("text"))
-    lines = F.when(has, F.transform(own_lines, lambda x: x["t"])).otherwise(plain)
-    passages = F.when(has, F.transform(own_passages, lambda x: x["t"])).otherwise(F.array().cast("array<string>"))
-    said = parsed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
-    said = said.select("conv_id", "turn", F.explode(F.transform(F.concat(F.array(whole), lines, passages), normal)).alias("t")).filter("t <> ''")
+    own = lambda of: F.transform(F.filter(of, lambda x: x["level"] == 0), lambda x: x["t"])
+    lines = own("_lines")
+    of_quoting = parsed.select("conv_id", "turn", F.concat(F.array(F.array_join(lines, "\n")), lines, own("_passages")).alias("_t"))
+    plain = whole.filter(~has).select("conv_id", "turn", F.concat(F.array("text"), F.split("text", "\r?\n")).alias("_t"))
+    said = of_quoting.unionAll(plain).join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    said = said.select("conv_id", "turn", F.explode(F.transform("_t", normal)).alias("t")).filter("t <> ''")
     first = said.groupBy("conv_id", F.md5("t").alias("h")).agg(F.min("turn").alias("origin"))
     found = quoted.join(first, ["conv_id", "h"]).filter("origin < turn")
     per = found.groupBy("conv_id", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
@@ -86,7 +91,8 @@ def threads(messages: DataFrame) -> DataFrame:
     replies starts from, depth the replies up to it; a message without a found quote starts a thread of its own
     with reply_to null. In the order (conv_id, thread, turn), in which the rows are sorted, every reply comes after
     what it replies to. A null text is empty; a null conv_id or turn links with nothing and has the thread `turn`.
-    Rows of one conv_id and turn are one message with their quotes together, but keep a row each.
+    Rows of one conv_id and turn are one message with their quotes together, but keep a row each. Very long texts are
+    read whole, in time linear in their lines. Extra columns are not read.
     """
     small = messages.select("conv_id", "turn", "role", "text")
     quoting = F.coalesce(F.col("text").rlike(r"(?m)^[ \t]*>"), F.lit(False))

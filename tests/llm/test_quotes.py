@@ -1,4 +1,10 @@
-from skein.llm.quotes import threads
+import random
+import time
+
+import duckdb
+import pytest
+
+from skein.llm.quotes import OP6_SQL, threads
 
 
 def conv(spark, rows):
@@ -35,3 +41,46 @@ def test_nulls_repeats_empty(spark):
 def test_long_chain(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, t, "u", f"> line {t - 1}\nline {t}") for t in range(1, 20)]
     assert [(x.thread, x.depth) for x in threads(conv(spark, rows)).collect()] == [(0, t) for t in range(20)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sql_on_conversations_full_of_quotes(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(r.randint(1, 14)):
+            lines = []
+            for _ in range(r.randint(1, 5)):
+                if said and r.random() < 0.6:
+                    old = r.choice(said).split("\n")
+                    at = r.randrange(len(old))
+                    lines += [r.choice([">", "> ", " >", ">>", "> > "]) + x.replace("a", "A") for x in old[at : at + r.randint(1, 3)]]
+                else:
+                    lines.append(r.choice(["", "ok", "same line", "é à", "word %d, and more" % r.randint(0, 30), "  spaced  out  "]))
+            said.append("\n".join(lines))
+            rows.append((c, t, r.choice(["user", "assistant"]), r.choice(["\n", "\r\n"]).join(lines)))
+    rows += [rows[3], (None, 1, "user", "> a"), (2, None, "user", "> b\nc"), (3, 40, None, None), (3, 41, "user", "")]
+    df = conv(spark, rows)
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    want = sorted(map(str, con.sql(OP6_SQL).fetchall()))
+    got = threads(df).collect()
+    assert sorted(str(tuple(x)) for x in got) == want
+    assert sum(x.reply_to is not None for x in got) > 20 and max(x.n_quote_levels for x in got) > 2
+
+
+def test_time_is_linear_in_the_lines_of_a_message(spark):
+    first = "\n".join(f"line {i}" for i in range(40_000))
+    answer = "\n".join(f"> line {i}\nanswer {i}" for i in range(40_000))
+    threads(conv(spark, [(1, 0, "user", "warm"), (1, 1, "user", "> warm\nup")])).collect()
+    start = time.time()
+    out = {x.turn: x for x in threads(conv(spark, [(1, 0, "user", first), (1, 1, "user", answer)])).collect()}
+    assert time.time() - start < 40
+    assert out[1].reply_to == 0 and out[1].n_linked == 40_000 and out[1].text.startswith("answer 0\nanswer 1")
+
+
+def test_ties_go_to_more_finds_then_the_latest(spark):
+    rows = [(1, 0, "u", "a b\nc d"), (1, 1, "u", "e f"), (1, 2, "u", "> a b\n> e f\n> c d\nx"), (1, 3, "u", "> a b\n> e f\ny")]
+    out = {x.turn: x.reply_to for x in threads(conv(spark, rows)).collect()}
+    assert out[2] == 0 and out[3] == 1
