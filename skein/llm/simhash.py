@@ -234,7 +234,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     named = docs.filter("doc_id IS NOT NULL")
     at = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     at = scratch(at.mapInArrow(each, "doc_id long, key long, fp long, bands array<long>"), "texts")
-    whole = at.filter("bands IS NOT NULL").select(F.col("key").alias("unit"), "doc_id", "key", F.lit(-1).alias("section"), F.lit(0).alias("start"), F.lit(_ALL).alias("stop"), "bands")
+    whole = at.filter("bands IS NOT NULL").select(F.col("key").alias("unit"), "doc_id", "key", F.lit(0).alias("start"), F.lit(_ALL).alias("stop"), "bands")
     of = at.select("key", "fp").distinct()
     similar = paragraph_links(named, whole).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = components(links(at.select("fp", F.col("fp").alias("node")).distinct()).unionAll(similar), "a", "b")

@@ -8,6 +8,7 @@ found in two documents, so that not every word makes a row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,19 +23,26 @@ from skein.llm.common import components, discard, find, read, runs, scratch, sma
 SHINGLE, SIMILARITY = 5, 0.8
 #: A passage repeated inside paragraphs counts from so many words on.
 MIN_WORDS = 20
-#: Two rows a band: at a similarity of 0.8 a pair meets in a band with probability 1 - (1 - 0.64) ** 6 = 0.998.
-BANDS, ROWS = 6, 2
+#: Share of the pairs just at SIMILARITY that are to meet in a band of ROWS rows.
+RECALL, ROWS = 0.997, 2
+
+
+def bands_for(similarity: float, rows: int = ROWS, recall: float = RECALL) -> int:
+    """Bands in which a pair of this similarity meets at least once with a probability of `recall`."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
+
+
+BANDS = bands_for(SIMILARITY)
 #: Words of a seed. Equal runs of MIN_WORDS words have equal seeds, and so the same least seed.
 SEED = 6
 #: Paragraphs of one band in a task.
 GROUP_ROWS = 1024
-#: Beyond so many bytes a text is taken in sections, each ended at a line or else at a word.
-SECTION = 1 << 20
+#: Bytes of a text whose words are split at a time, and words that are worked on at a time; neither changes a result.
+SECTION, BLOCK = 1 << 20, 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SALT = np.array([xxhash.xxh64_intdigest(str(i), 7) for i in range(BANDS * ROWS)], dtype=np.uint64)
-_TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -71,23 +79,72 @@ def sections(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def analyse(low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a lower-cased section: word hashes, where lines end (in words), where stretches start, their seeds.
+def read_words(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of a lower-cased text: the hashes of its words, and where its lines end (in words)."""
+    hashes, ends, n = [np.zeros(0, np.uint64)], [], 0
+    for part in sections(low):
+        size = [len(x.split()) for x in part.split(b"\n")]
+        ends.append(n + np.cumsum(size[:-1], dtype=np.int64))  # the last line may go on in the next section
+        hashes.append(_hashed(part))
+        n += len(hashes[-1])
+    return np.concatenate(hashes), np.concatenate([*ends, [n]]).astype(np.int64)
 
-    A stretch is a sequence of neighbouring runs of MIN_WORDS words that have the same least seed; the last
-    one ends with the last run.
-    """
-    h = word_hashes(low)
-    ends = np.cumsum([len(x.split()) for x in low.split(b"\n")], dtype=np.int64) if len(h) else np.zeros(0, np.int64)
-    if len(h) < MIN_WORDS:
-        return h, ends, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+def stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches start and what their seeds are. A stretch is a sequence of neighbouring runs of MIN_WORDS words
+    that have the same least seed; the last one ends with the last run."""
     least, width, whole = _windows(h, SEED), 1, MIN_WORDS - SEED + 1
     while width < whole:
         step = min(width, whole - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
     starts = np.nonzero(np.append(True, least[1:] != least[:-1]))[0]
-    return h, ends, starts, least[starts]
+    return starts, least[starts]
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    """The bands of MinHash values (..., BANDS * ROWS)."""
+    return _mix(least[..., 0::ROWS] * _P + least[..., 1::ROWS] + np.arange(BANDS, dtype=np.uint64))
+
+
+def _minima(h: np.ndarray) -> np.ndarray:
+    """The MinHash values of a run of words of any length, some of its shingles at a time."""
+    out = np.full(len(_SALT), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(h) - SHINGLE + 1, BLOCK):
+        sh = _windows(h[at : at + BLOCK + SHINGLE - 1], SHINGLE)
+        out = np.minimum(out, [_mix(sh ^ c).min() for c in _SALT])
+    return out
+
+
+def text_units(low: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """start, stop, unit, span and bands of a text's stretches (bands None), then of its lines from SHINGLE words on.
+
+    Every run of MIN_WORDS words is in one stretch; a stretch that a block's end divides is two with one seed.
+    """
+    h, ends = read_words(low)
+    for at in range(0, len(h) - MIN_WORDS + 1, BLOCK):
+        part = h[at : at + BLOCK + MIN_WORDS - 1]
+        s, seed = stretches(part)
+        e = np.append(s[1:] + MIN_WORDS - 1, len(part))
+        yield s + at, e + at, seed, _span_hash(part, s, e), None
+    first = np.concatenate([[0], ends[:-1]])
+    keep = ends - first >= SHINGLE
+    ls, le = first[keep], ends[keep]
+    i = 0
+    while i < len(ls):
+        j = max(i + 1, int(np.searchsorted(le, ls[i] + BLOCK, side="right")))
+        s, e = ls[i:j], le[i:j]
+        if j == i + 1:
+            least, unit = _minima(h[s[0] : e[0]])[None, :], _long_hash(h[s[0] : e[0]])
+        else:
+            part, lo = h[s[0] : e[-1]], s[0]
+            sh = _windows(part, SHINGLE)
+            at = np.stack([s - lo, e - lo - SHINGLE + 1], axis=1).ravel()
+            at = at[:-1] if at[-1] >= len(sh) else at
+            least = np.stack([np.minimum.reduceat(_mix(sh ^ c), at)[::2] for c in _SALT], axis=1)
+            unit = _span_hash(part, s - lo, e - lo)
+        yield s, e, unit, unit, _bands(least)
+        i = j
 
 
 def _span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -98,72 +155,72 @@ def _span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(low: bytes) -> np.ndarray:
-    words = low.split()
+def _long_hash(h: np.ndarray) -> np.ndarray:
+    """What `_span_hash` gives for all words of h, some of them at a time."""
+    total, power = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), BLOCK):
+            p = power * np.cumprod(np.full(len(h[at : at + BLOCK]), _P))
+            total, power = total + (h[at : at + BLOCK] * p).sum(), p[-1]
+        return _mix(np.array([total * _P_INV * _P + np.uint64(len(h))], np.uint64))
+
+
+def _hashed(part: bytes) -> np.ndarray:
+    words = part.split()
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def word_hashes(low: bytes) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *map(_hashed, sections(low))])
+
+
 def text_bands(low: bytes) -> np.ndarray | None:
     """The MinHash bands of a whole text; None if it has no shingle."""
-    sh = _windows(word_hashes(low), SHINGLE)
-    if not len(sh):
-        return None
-    least = np.array([_mix(sh ^ c).min() for c in _SALT])
-    return _mix(least[0::ROWS] * _P + least[1::ROWS] + np.arange(BANDS, dtype=np.uint64))
+    h = word_hashes(low)
+    return _bands(_minima(h)) if len(h) >= SHINGLE else None
 
 
-_UNIT = "key long, doc_id long, section int, start int, stop int, line boolean, unit long, span long, bands array<long>"
+_UNIT = "key long, doc_id long, start int, stop int, line boolean, unit long, span long, bands array<long>"
+#: Units that a task hands on at a time.
+_UNITS = 1 << 20
 
 
 def units(docs: DataFrame) -> DataFrame:
     """A row for each paragraph of at least SHINGLE words and each stretch of runs of MIN_WORDS words.
 
-    key tells texts of one doc_id apart; start and stop count words in the section. unit is the hash of a
+    key tells texts of one doc_id apart; start and stop count words in the text. unit is the hash of a
     paragraph's words or the seed of a stretch, whose words have the hash span (null for a paragraph); bands
     has the MinHash bands of a paragraph and is empty for a stretch. Rows with a null doc_id or text have no units.
     """
     small_batches(docs.sparkSession)
 
+    def batch(keys: np.ndarray, ids: np.ndarray, out: list[tuple]) -> pa.RecordBatch:
+        count = np.array([len(x[1]) for x in out])
+        row, line = np.repeat([x[0] for x in out], count), np.repeat([x[5] is not None for x in out], count)
+        flat = np.concatenate([x[5].ravel() for x in out if x[5] is not None] or [np.zeros(0, np.uint64)])
+        offsets = np.concatenate([[0], np.cumsum(line * BANDS)]).astype(np.int32)
+        cat = lambda i, kind: np.concatenate([x[i] for x in out]).astype(kind, copy=False)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(keys[row]), pa.array(ids[row]), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32)), pa.array(line), pa.array(cat(3, np.uint64).view(np.int64)),
+                pa.array(cat(4, np.uint64).view(np.int64), mask=line), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
+            ],
+            names=["key", "doc_id", "start", "stop", "line", "unit", "span", "bands"],
+        )
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            out: list[tuple] = []
+            out, n = [], 0
             for row, text in enumerate(texts(b)):
-                for no, part in enumerate(sections(text.lower())):
-                    h, ends, s, seed = analyse(part)
-                    if len(h) < SHINGLE:
-                        continue
-                    e = np.append(s[1:] + MIN_WORDS - 1, len(h)) if len(s) else s
-                    first = np.concatenate([[0], ends[:-1]])
-                    keep = ends - first >= SHINGLE
-                    ls, le = first[keep], ends[keep]
-                    bands = None
-                    if len(ls):
-                        sh = _windows(h, SHINGLE)
-                        at = np.stack([ls, le - SHINGLE + 1], axis=1).ravel()
-                        at = at[:-1] if at[-1] >= len(sh) else at
-                        least = np.stack([np.minimum.reduceat(_mix(sh ^ c), at)[::2] for c in _SALT], axis=1)
-                        bands = _mix(least[:, 0::ROWS] * _P + least[:, 1::ROWS] + np.arange(BANDS, dtype=np.uint64))
-                    s, e = np.concatenate([s, ls]), np.concatenate([e, le])
-                    span = _span_hash(h, s, e)
-                    out.append((row, no, s, e, len(seed), np.append(seed, span[len(seed) :]), bands, span))
-            if not out:
-                continue
-            count = np.array([len(x[2]) for x in out])
-            row = np.repeat([x[0] for x in out], count)
-            line = np.concatenate([np.arange(len(x[2])) >= x[4] for x in out])
-            flat = np.concatenate([x[6].ravel() for x in out if x[6] is not None] or [np.zeros(0, np.uint64)])
-            offsets = np.concatenate([[0], np.cumsum(line * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[row]), pa.array(ids[row]), pa.array(np.repeat([x[1] for x in out], count).astype(np.int32)),
-                    pa.array(np.concatenate([x[2] for x in out]).astype(np.int32)), pa.array(np.concatenate([x[3] for x in out]).astype(np.int32)),
-                    pa.array(line), pa.array(np.concatenate([x[5] for x in out]).view(np.int64)),
-                    pa.array(np.concatenate([x[7] for x in out]).view(np.int64), mask=line),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                ],
-                names=["key", "doc_id", "section", "start", "stop", "line", "unit", "span", "bands"],
-            )
+                for part in text_units(text.lower()):
+                    out.append((row, *part))
+                    n += len(part[0])
+                    if n > _UNITS:
+                        yield batch(keys, ids, out)
+                        out, n = [], 0
+            if out:
+                yield batch(keys, ids, out)
 
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     return named.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, _UNIT)
@@ -173,27 +230,23 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
     """a, b: links between distinct paragraphs (by unit) whose shingle sets have Jaccard >= similarity.
 
     Within a band all pairs are compared that are not linked yet, so that whatever reaches each other
-    over colliding paragraphs is connected by the links returned. The section -1 is the whole text.
+    over colliding paragraphs is connected by the links returned.
     """
     banded = lines.select("unit", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).filter("x <> y").select("band")
     met = scratch(banded.distinct().join(shared, "band"), "bands")
-    place = lines.groupBy("unit").agg(F.min(F.struct("doc_id", "key", "section", "start", "stop")).alias("p"))
+    place = lines.groupBy("unit").agg(F.min(F.struct("doc_id", "key", "start", "stop")).alias("p"))
     wanted = place.join(met.select("unit").distinct(), "unit").select("unit", "p.*")
-    wanted = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("section", "start", "stop", "unit")).alias("spans"))
+    wanted = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop", "unit")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             unit, sets = [], []
             for text, spans in zip(texts(b), b.column(1).to_pylist()):
-                low = text.lower()
-                parts, hashes = list(sections(low)), {}
+                h = word_hashes(text.lower())
                 for s in spans:
-                    no = s["section"]
-                    if no not in hashes:
-                        hashes[no] = word_hashes(parts[no] if no >= 0 else low)
                     unit.append(s["unit"])
-                    sets.append(np.unique(_windows(hashes[no][s["start"] : s["stop"]], SHINGLE)).tobytes())
+                    sets.append(np.unique(_windows(h[s["start"] : s["stop"]], SHINGLE)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).dropDuplicates(["doc_id", "key"])
@@ -228,7 +281,7 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
 
 
 def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """key, doc_id, section, start, stop, kept_doc_id: all runs of MIN_WORDS words that a smaller doc_id has, in stretches.
+    """key, doc_id, start, stop, kept_doc_id: all runs of MIN_WORDS words that a smaller doc_id has, in stretches.
 
     Equal stretches are settled as a whole. Where a seed has different stretches, the runs of the first
     document of each are compared one by one; the first document with a run is the first with its stretch.
@@ -238,39 +291,27 @@ def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     first = shared.groupBy("unit", "span").agg(F.min("doc_id").alias("kept_doc_id"))
     met = scratch(shared.join(first, ["unit", "span"]).filter("mixed OR doc_id <> kept_doc_id").drop("unit", "span", "mixed"), "met")
     discard(shared)
-    whole = met.filter("doc_id <> kept_doc_id").select("key", "doc_id", "section", "start", "stop", "kept_doc_id")
-    wanted = met.filter("doc_id = kept_doc_id").groupBy("doc_id", "key").agg(F.collect_set(F.struct("section", "start", "stop")).alias("spans"))
+    whole = met.filter("doc_id <> kept_doc_id").select("key", "doc_id", "start", "stop", "kept_doc_id")
+    wanted = met.filter("doc_id = kept_doc_id").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (text, spans) in enumerate(zip(texts(b), b.column(3).to_pylist())):
-                by: dict[int, list[dict]] = {}
-                for x in spans:
-                    by.setdefault(x["section"], []).append(x)
-                for no, part in enumerate(sections(text.lower())):
-                    if no not in by:
-                        continue
-                    h = word_hashes(part)
-                    at = np.unique(np.concatenate([np.arange(x["start"], x["stop"] - MIN_WORDS + 1) for x in by[no]]))
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, b.column(1)[i].as_py(), np.int64)), pa.array(np.full(n, b.column(2)[i].as_py(), np.int64)), pa.array(np.full(n, no, np.int32)),
-                            pa.array(at.astype(np.int32)), pa.array(_span_hash(h, at, at + MIN_WORDS).view(np.int64)),
-                        ],
-                        names=["key", "doc_id", "section", "start", "run"],
-                    )
+                run = _windows(word_hashes(text.lower()), MIN_WORDS)
+                at = np.unique(np.concatenate([np.arange(x["start"], x["stop"] - MIN_WORDS + 1) for x in spans]))
+                same = lambda c: pa.array(np.full(len(at), b.column(c)[i].as_py(), np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(1), same(2), pa.array(at.astype(np.int32)), pa.array(run[at].view(np.int64))], names=["key", "doc_id", "start", "run"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).dropDuplicates(["doc_id", "key"])
-    found = source.join(wanted, ["doc_id", "key"]).select("text", "key", "doc_id", "spans").mapInArrow(each, "key long, doc_id long, section int, start int, run long")
+    found = source.join(wanted, ["doc_id", "key"]).select("text", "key", "doc_id", "spans").mapInArrow(each, "key long, doc_id long, start int, run long")
     found = scratch(found, "runs")
     first = found.groupBy("run").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most")).filter("kept_doc_id <> most")
     single = found.join(first.select("run", "kept_doc_id"), "run").filter("doc_id <> kept_doc_id")
-    return whole.unionAll(single.select("key", "doc_id", "section", "start", (F.col("start") + MIN_WORDS).alias("stop"), "kept_doc_id"))
+    return whole.unionAll(single.select("key", "doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), "kept_doc_id"))
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """key, doc_id, section, start, stop, kept_doc_id, paragraph: the passages to remove.
+    """key, doc_id, start, stop, kept_doc_id, paragraph: the passages to remove, by their words.
 
     Paragraphs are clustered by components of equal or similar ones. Of a cluster that is in more than one
     document the document with the smallest doc_id keeps what it has; every other occurrence is listed.
@@ -284,52 +325,60 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spread = spread.join(comp.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     cluster = spread.groupBy("component").agg(F.min("least").alias("kept_doc_id"), F.max("most").alias("most")).filter("kept_doc_id <> most")
     marked = spread.join(cluster.select("component", "kept_doc_id"), "component").select("unit", "kept_doc_id")
-    columns = ["key", "doc_id", "section", "start", "stop", "kept_doc_id"]
+    columns = ["key", "doc_id", "start", "stop", "kept_doc_id"]
     found = lines.drop("bands").join(marked, "unit").filter("doc_id <> kept_doc_id").select(*columns, F.lit(True).alias("line"))
     found = found.unionAll(passages(docs, u.filter("NOT line").drop("line", "bands")).select(*columns, F.lit(False).alias("line")))
-    per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("section", "start", "stop", "line", "kept_doc_id")).alias("s"))
+    per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop", "line", "kept_doc_id")).alias("s"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for doc, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                out += [(key, doc, x["section"], x["start"], x["stop"], x["kept_doc_id"], True) for x in s if x["line"]]
+                out += [(key, doc, x["start"], x["stop"], x["kept_doc_id"], True) for x in s if x["line"]]
                 merged: list[list] = []
-                for x in sorted((x for x in s if not x["line"]), key=lambda x: (x["section"], x["start"], -x["stop"])):
-                    start, stop, last = x["start"], x["stop"], merged[-1] if merged and merged[-1][2] == x["section"] else None
-                    if last and start <= last[4]:
-                        if last[5] == x["kept_doc_id"]:
-                            last[4] = max(last[4], stop)
+                for x in sorted((x for x in s if not x["line"]), key=lambda x: (x["start"], -x["stop"], x["kept_doc_id"])):
+                    start, stop = x["start"], x["stop"]
+                    if merged and start <= merged[-1][3]:
+                        if merged[-1][4] == x["kept_doc_id"]:
+                            merged[-1][3] = max(merged[-1][3], stop)
                             continue
-                        start = last[4]
+                        start = merged[-1][3]
                     if start < stop:
-                        merged.append([key, doc, x["section"], start, stop, x["kept_doc_id"], False])
+                        merged.append([key, doc, start, stop, x["kept_doc_id"], False])
                 out += map(tuple, merged)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            names = ["key", "doc_id", "section", "start", "stop", "kept_doc_id", "paragraph"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+            names = ["key", "doc_id", "start", "stop", "kept_doc_id", "paragraph"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return per.select("doc_id", "key", "s").mapInArrow(
-        each, "key long, doc_id long, section int, start int, stop int, kept_doc_id long, paragraph boolean"
-    )
-
-
-def without(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
-    """The text without the words of the spans (section, start, stop) and the white space after them."""
-    by: dict[int, list[tuple[int, int]]] = {}
-    for no, s, e in spans:
-        by.setdefault(no, []).append((s, e))
-    out = []
-    for no, part in enumerate(sections(text)):
-        if no in by:
-            at = [m.start() for m in _TOKEN.finditer(part)] + [len(part)]
-            done, kept = 0, []
-            for s, e in sorted(by[no]):
-                kept.append(part[done : max(done, at[s])])
-                done = max(done, at[e])
-            kept.append(part[done:])
-            part = b"".join(kept)
-        out.append(part)
+    return per.select("doc_id", "key", "s").mapInArrow(each, "key long, doc_id long, start int, stop int, kept_doc_id long, paragraph boolean")
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans (start, stop) and the white space after them."""
+    whole: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if whole and s <= whole[-1][1]:
+            whole[-1] = (whole[-1][0], max(e, whole[-1][1]))
+        else:
+            whole.append((s, e))
+    out, n, i = [], 0, 0
+    for part in sections(text):
+        blank = _BLANK[np.frombuffer(part, np.uint8)]
+        at = np.append(np.nonzero(~blank & np.append(True, blank[:-1]))[0], len(part)).tolist()
+        upto, done = n + len(at) - 1, 0
+        while i < len(whole) and whole[i][0] < upto:
+            s, e = whole[i]
+            out.append(part[done : at[s - n] if s >= n else 0])
+            done = at[min(e, upto) - n]
+            if e >= upto:  # goes on in the next section, if only with the white space there
+                break
+            i += 1
+        out.append(part[done:])
+        n = upto
     return b"".join(out)
 
 
@@ -338,15 +387,16 @@ def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     n_chars, if there is such a column, is counted anew where the text changed. A document of which
     nothing but white space is left goes; documents without repeats are as they were, also null or
-    empty ones. A null doc_id takes no part. Repeated rows of one doc_id lose the same passages.
+    empty ones. A null doc_id takes no part. Repeated rows of one doc_id lose the same passages. Texts of any length
+    are compared whole; other columns may have any names.
     """
     small_batches(docs.sparkSession)
-    spans = repeats(docs, similarity).groupBy("doc_id", "key").agg(F.collect_list(F.struct("section", "start", "stop")).alias("spans"))
+    spans = repeats(docs, similarity).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_skein_id"), F.col("key").alias("_skein_key"), F.col("spans").alias("_skein_spans"))
 
     @F.pandas_udf("string")
     def cut(text, spans):
-        return text.combine(spans, lambda t, s: without(t.encode(), [(x["section"], x["start"], x["stop"]) for x in s]).decode())
+        return text.combine(spans, lambda t, s: without(t.encode(), [(x["start"], x["stop"]) for x in s]).decode())
 
     joined = docs.join(spans, (docs["doc_id"].cast("long") == F.col("_skein_id")) & (F.xxhash64(docs["text"]) == F.col("_skein_key")), "left")
     whole = joined.filter("_skein_spans IS NULL").select(docs.columns)
@@ -359,4 +409,4 @@ def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each passage that goes: where it is and the document that keeps it."""
     found = repeats(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "kept_doc_id", "paragraph", "section", F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"))
+    return found.select("doc_id", "kept_doc_id", "paragraph", F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -119,7 +120,7 @@ def test_every_run_of_twenty_words_that_an_earlier_document_has(documents, r, mo
     texts += [prose(r, 30).split() + ["ha"] * 60, prose(r, 30).split() + ["ha"] * 45 + prose(r, 30).split(), prose(r, 25).split() + ["la", "li"] * 30, ["li", "la"] * 12 + prose(r, 25).split()]
     got = {}
     for x in S.repeats(documents([" ".join(t) for t in texts])).collect():
-        assert x.kept_doc_id < x.doc_id and x.section == 0
+        assert x.kept_doc_id < x.doc_id
         if not x.paragraph:
             assert not got.setdefault(x.doc_id, set()) & set(range(x.start, x.stop))
             got[x.doc_id] |= set(range(x.start, x.stop))
@@ -142,3 +143,62 @@ def test_short_paragraphs_and_short_documents_join_too(documents, r):
     assert found == {(1, 0, 12), (1, 0, 19), (3, 2, 5)}
     out = removed(documents(texts))
     assert 3 not in out and out[4] == texts[4] and out[6] == texts[6] and out[1].split() == texts[1].split()[:40]
+
+
+def test_sections_and_blocks_change_nothing(documents, r, monkeypatch):
+    """Texts over several sections, passages and paragraphs across their borders, long lines, and cutting itself."""
+    shared = [prose(r, n) for n in (20, 36, 36, 60, 200)]
+    texts = []
+    for i in range(6):
+        t = ""
+        for p in r.sample(shared, 3):
+            t += prose(r, r.randint(3, 90)) + r.choice([" ", "\n", "\r\n \n"]) + p + r.choice([" ", "\n", "\t \n"])
+        texts.append(t + prose(r, 300) + r.choice(["", "\n", "  "]))
+    texts += [texts[2], "w" * 400 + " " + shared[4], "\n\n  \n" + shared[3] + "\n" * 120, ""]
+    docs = documents(texts)
+    columns = ["doc_id", "start", "stop", "kept_doc_id", "paragraph"]
+    want = sorted(map(tuple, S.repeats(docs).select(*columns).collect())), removed(docs)
+    assert len(want[0]) > 8
+    for section, block in ((50, 32), (1, 7)):
+        monkeypatch.setattr(S, "SECTION", section)
+        monkeypatch.setattr(S, "BLOCK", block)
+        assert (sorted(map(tuple, S.repeats(docs).select(*columns).collect())), removed(docs)) == want
+
+
+def test_cutting_words(r):
+    for _ in range(200):
+        text = "".join(r.choice(["ab", "c", " ", "\n", "  \t", "é"]) for _ in range(40)).encode()
+        n = len(text.split())
+        spans = [tuple(sorted((r.randint(0, n), r.randint(0, n)))) for _ in range(r.randint(0, 3))]
+        spans = [s for s in spans if s[0] < s[1]]
+        at = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)] + [len(text)]
+        gone = {i for s, e in spans for i in range(at[s], at[e])}
+        want = bytes(c for i, c in enumerate(text) if i not in gone)
+        for size in (1, 5, 1 << 20):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(S, "SECTION", size)
+                assert S.without(text, spans) == want
+
+
+def test_a_text_over_a_section_keeps_its_links(documents, r):
+    passages = [prose(r, 36) for _ in range(12)]
+    words = [prose(r, 5) for _ in range(2_000)]
+    long = " ".join(r.choice(words) + " x%d" % i for i in range(45_000))
+    at = S.SECTION
+    texts = ["\n".join(passages), long[: at - 100] + " " + passages[0] + " " + long[at - 100 :], "y " * 600_000 + " ".join(passages)]
+    found = {x.doc_id: 0 for x in []}
+    for x in S.repeats(documents(texts)).collect():
+        found[x.doc_id] = found.get(x.doc_id, 0) + x.stop - x.start
+    assert found[1] >= 36 and found[2] >= 12 * 36
+
+
+def test_recall_of_similar_paragraphs(documents, r):
+    """Pairs just at the threshold are found nearly all."""
+    texts, n = [], 0
+    for i in range(200):
+        base = prose(r, 100).split()
+        other = base + prose(r, 24).split()  # 96 of 120 shingles
+        texts += [prose(r, 30) + "\n" + " ".join(base), prose(r, 30) + "\n" + " ".join(other)]
+    got = {x.doc_id for x in S.repeats(documents(texts)).collect() if x.paragraph}
+    assert len(got) >= 0.98 * 200 and all(i % 2 for i in got)
+    assert S.bands_for(0.8) == 6 and 1 - (1 - 0.8**S.ROWS) ** S.BANDS >= S.RECALL
