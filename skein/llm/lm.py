@@ -143,7 +143,8 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """gram, n, logp (natural) for rows (gram, n): n = 0 asks for a gram that training lacks.
 
     The tree is cut by the three latest bytes of context; contexts are dealt to as many tasks as the grams
-    need, and below one there are at most 256 ** (depth - 2) grams. The nodes of depth 2 stay in a table of
+    need. What one of these three-byte contexts has below it is one task: at most 256 ** (depth - 2) grams, or 857,000 in
+    printable ASCII, which take about 0.6 KB each. The nodes of depth 2 stay in a table of
     which each task gets the ones its contexts end in; those above, at most 255 * 257, go to every task.
     """
     if depth < 3:
@@ -299,7 +300,8 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, depth: in
     held_out: a boolean column of those not to learn from (null: learned from); by default, as op5 says.
     A null text is empty: one token, the end. Without any training document the base gives log10(1) for
     each token and the model one half for each bit. Repeated rows are learned and scored as often as they
-    occur; null doc_ids are learned from. Extra columns are not read.
+    occur; null doc_ids are learned from. Extra columns are not read. Texts of any length are learned and scored whole, a
+    piece at a time. Words are told apart by 64-bit hashes.
 
     What texts need from the model, word counts and gram probabilities, comes from two tables of at most
     TABLE_KEYS of the most frequent keys, which go to every task. What these lack is listed by text and joined

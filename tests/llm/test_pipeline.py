@@ -37,3 +37,20 @@ def test_stages_take_effect_and_keep_clean_documents(spark, documents, tmp_path)
     out = P.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) == set(last) and not out.duplicated(["bucket", "batch", "slot"]).any()
     assert len(P.STAGES) == 4
+
+
+def test_empty_documents_and_clashing_columns(spark, documents, tmp_path):
+    import corpus_pipeline as P
+
+    documents([]).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    assert P.run(spark, str(tmp_path / "a")).count() == 0
+    r = random.Random(2)
+    texts = [prose(r, 120) for _ in range(12)]
+    docs = documents(texts + [texts[3], None], key=1, unit=2, bucket=3, fp=4, component=5, start=6, score=7)
+    docs.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    at = spark.read.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for _, stage in P.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path / "b"))
+        assert at.columns == docs.columns
+    assert {x.doc_id for x in at.collect()} == set(range(12))
+    assert set(P.run(spark, str(tmp_path / "b")).toPandas().doc_id) == set(range(12))
