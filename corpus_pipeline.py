@@ -6,34 +6,33 @@ docs of the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.classifier import keep_good
-from skein.llm.common import read, shared_dir
+from skein.llm.common import discard, read, scratch
 from skein.llm.packing import pack, word_lengths
 from skein.llm.simhash import drop_near_duplicates
 from skein.llm.substring import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the weakly supervised scorer rejects; a text without words is rejected."""
+    """Drop what the weakly supervised scorer rejects; a text without words, null or empty, is rejected."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: that with the smallest doc_id."""
+    """Keep one document of each group of near duplicates: that with the smallest doc_id. Rows with a null doc_id stay."""
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated passages out of all documents but the first that has them."""
+    """Cut repeated passages out of all documents but the first that has them; what is left blank by that goes. Null and
+    empty texts and rows with a null doc_id stay as they are."""
     return remove_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give each document its bucket, batch and slot."""
+    """Give each document its bucket, batch and slot; a null text has no words, null and repeated doc_ids get slots too."""
     return pack(word_lengths(docs))
 
 
@@ -43,10 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's files go as soon as the next one's are written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        kept = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        docs = before = kept
     return docs
