@@ -33,8 +33,8 @@ def body_postings(units: DataFrame, key: str, text: str = "text", whole: bool =
     return rows.select(key, "length", F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def body_search(units: DataFrame, key: str, query: str, match: str | int = "any", k: int = 10, text: str = "text", terms: list[str] | None = None, whole: bool = False) -> DataFrame:
-    """key, matched, score of the k best units; ties to the smaller key. A unit without terms is no document.
+def body_search(units: DataFrame, key: str, query: str, match: str | int = "any", k: int | None = 10, text: str = "text", terms: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """key, matched, score of the k best units (all with k None); ties to the smaller key. A unit without terms is no document.
 
     One pass counts, for each unit, its length and the query's terms in it, with no explosion of the others; the
     statistics are one row and the frequencies one row for each query term, both broadcast.
@@ -59,7 +59,8 @@ def body_search(units: DataFrame, key: str, query: str, match: str | int = "any"
     ]
     matched = sum((F.col(f"tf{i}") > 0).cast("int") for i in range(len(terms)))
     scored = hits.select(key, matched.alias("matched"), F.round(sum(part), PLACES).alias("score"))
-    return scored.filter((F.col("matched") >= least) & (F.col("score") > 0)).orderBy(F.desc("score"), key).limit(k)
+    scored = scored.filter((F.col("matched") >= least) & (F.col("score") > 0))
+    return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def meta_fields(nodes: DataFrame) -> DataFrame:

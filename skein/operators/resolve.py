@@ -2,65 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.names import ancestors, dangling_name, folder_of, is_external, join_path, percent_decode, selector_names
 
-#: What an edge of a kind may point at; a kind that is not listed may point at anything.
+# What an edge of a kind may point at; a kind that is not listed may point at anything.
 TARGETS = {
-    "calls": ("function", "method", "macro", "variable", "const", "struct", "variant"),
-    "type_uses": ("struct", "enum", "trait", "type_alias", "class", "interface"),
-    "extends": ("class", "interface", "struct", "trait"),
-    "implements": ("trait", "interface", "class"),
-    "imports": ("file", "module", "function", "struct", "enum", "trait", "type_alias", "const", "static", "macro", "class", "interface", "variable", "export"),
+    "calls": ("const", "export", "function", "macro", "method", "variable"),
+    "extends": ("class", "impl", "interface", "trait"),
+    "implements": ("class", "impl", "interface", "trait"),
+    "imports": ("file", "module"),
+    "type_uses": ("class", "enum", "impl", "interface", "module", "struct", "trait", "type_alias", "variant"),
 }
+#: How a reference is told apart here: a Python call of a bare or of a dotted name, and any edge that may point anywhere.
+_BARE, _DOTTED, _ANY = "bare python call", "dotted python call", "any"
 
 
-def compatible_pairs(spark, python_calls: bool = False) -> DataFrame:
-    """by_edge, to_node: a table of some tens of rows."""
+def admitted(spark) -> DataFrame:
+    """asks, to_node: what references may point at, some tens of rows. Python calls may hit classes, methods only by a
+    dotted name."""
     rows = [(e, n) for e, kinds in TARGETS.items() for n in kinds]
-    if python_calls:
-        rows.append(("calls", "class"))
-    return spark.createDataFrame(rows, "by_edge string, to_node string")
+    rows += [(way, n) for way in (_BARE, _DOTTED) for n in (*TARGETS["calls"], "class") if way == _DOTTED or n != "method"]
+    return spark.createDataFrame(rows, "asks string, to_node string")
 
 
-def _unique(refs: DataFrame, symbols: DataFrame, on: dict[str, str], rule: str) -> DataFrame:
-    """ref, <rule>_n, <rule>_id: compatible symbols that a rule's keys join, counted after compatibility."""
-    s = symbols.select(*[F.col(c).alias(f"_{c}") for c in {*on.values(), "id", "kind"}])
-    cond = [F.col(r) == F.col(f"_{c}") for r, c in on.items()]
-    pairs = F.broadcast(compatible_pairs(refs.sparkSession))
-    hit = refs.join(s, cond).join(pairs, (F.col("edge_kind") == F.col("by_edge")) & (F.col("_kind") == F.col("to_node")))
-    return hit.groupBy("ref").agg(F.count_distinct("_id").alias(f"{rule}_n"), F.min("_id").alias(f"{rule}_id"))
+def asks(refs: DataFrame) -> Column:
+    """What a reference (edge_kind, name, perhaps language) asks the kind table for."""
+    out = F.when(F.col("edge_kind").isin(*TARGETS), F.col("edge_kind")).otherwise(_ANY)
+    if "language" not in refs.columns:
+        return out
+    call = (F.col("language") == "python") & (F.col("edge_kind") == "calls")
+    return F.when(F.coalesce(call, F.lit(False)), F.when(F.col("name").contains("."), _DOTTED).otherwise(_BARE)).otherwise(out)
+
+
+def _admitting(symbols: DataFrame, keys: list[str], rule: str, imports_any: bool = False) -> DataFrame:
+    """keys, asks, <rule>_n, <rule>_id: for each key and way to ask how many symbols there are, and the only one.
+
+    Symbols are counted by key and kind before the kinds are looked at, so a name that many symbols have is one row
+    for each kind; what references join has one row for each way to ask.
+    """
+    by_kind = symbols.dropna(subset=keys).groupBy(*keys, "kind").agg(F.count_distinct("id").alias("_n"), F.min("id").alias("_id"))
+    table = admitted(symbols.sparkSession)
+    if imports_any:
+        table = table.filter("asks <> 'imports'")
+    hit = by_kind.join(F.broadcast(table), F.col("kind") == F.col("to_node")).select(*keys, "asks", "_n", "_id")
+    free = [_ANY, "imports"] if imports_any else [_ANY]
+    hit = hit.unionAll(by_kind.select(*keys, F.explode(F.array(*[F.lit(x) for x in free])), "_n", "_id"))
+    return hit.groupBy(*keys, "asks").agg(F.sum("_n").alias(f"{rule}_n"), F.min("_id").alias(f"{rule}_id"))
 
 
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """ref, target, rule, resolved, to_name for references (ref, path, kind, name, lexical_key, import_path, import_name, dynamic).
+    """ref, target, rule, resolved, to_name for references (ref, path, edge_kind, name, lexical_key, import_path, import_name, dynamic).
 
     symbols: (id, path, kind, name, qualified_name, lexical_key, local). The rules in order: a dynamic reference
     dangles; a lexical target must be in the file; an import must be in the file it names; then one compatible
     symbol of that name in the file; one with that qualified name; one not local to a function anywhere. A rule
     that claims a reference and finds nothing or several leaves it dangling: it never falls through to the next.
-    Each rule is one equi join on names; a name a third of all references has is split by Spark like any key.
+    With a column `language` Python's rules for calls hold; with a column `bound` (an id that another operator found
+    for the reference) that comes right after dynamic. Each rule is one left join of references with a table that has one
+    row for their key, so references are neither multiplied nor grouped; a hot name is split by Spark like any key.
     """
     visible = symbols.filter("NOT coalesce(local, false)")
-    lexical = _unique(refs.filter("lexical_key IS NOT NULL"), symbols, {"path": "path", "lexical_key": "lexical_key"}, "lexical")
-    imported = _unique(refs.filter("import_path IS NOT NULL"), symbols, {"import_path": "path", "import_name": "name"}, "imported")
-    same = _unique(refs, visible, {"path": "path", "name": "name"}, "same")
-    qualified = _unique(refs.filter("name LIKE '%::%'"), visible, {"name": "qualified_name"}, "qualified")
-    anywhere = _unique(refs, visible, {"name": "name"}, "global")
-    out = refs
-    for rule in (lexical, imported, same, qualified, anywhere):
-        out = out.join(rule, "ref", "left")
+    tables = [
+        (_admitting(symbols, ["path", "lexical_key"], "lexical"), {"path": "path", "lexical_key": "lexical_key"}),
+        (_admitting(symbols, ["path", "name"], "imported", imports_any=True), {"path": "import_path", "name": "import_name"}),
+        (_admitting(visible, ["path", "name"], "same"), {"path": "path", "name": "name"}),
+        (_admitting(visible, ["qualified_name"], "qualified"), {"qualified_name": "name"}),
+        (_admitting(visible, ["name"], "global"), {"name": "name"}),
+    ]
+    out = refs.withColumn("_asks", asks(refs))
+    for no, (table, on) in enumerate(tables):
+        t = table.select(*[F.col(c).alias(f"_{no}_{c}") for c in (*on, "asks")], *[c for c in table.columns if c not in on and c != "asks"])
+        cond = [F.col(f"_{no}_asks") == F.col("_asks")] + [F.col(f"_{no}_{c}") == F.col(r) for c, r in on.items()]
+        out = out.join(t, cond, "left").drop(*[f"_{no}_{c}" for c in (*on, "asks")])
     one = lambda rule: F.when(F.col(f"{rule}_n") == 1, F.col(f"{rule}_id"))
     say = lambda rule, found: F.struct(F.lit(rule).alias("rule"), found.alias("id"))
+    claim = F.when(F.coalesce("dynamic", F.lit(False)), say("dynamic", F.lit(None).cast("string")))
+    if "bound" in refs.columns:
+        claim = claim.when(F.col("bound").isNotNull(), say("bound", F.col("bound")))
     claim = (
-        F.when(F.coalesce("dynamic", F.lit(False)), say("dynamic", F.lit(None).cast("string")))
-        .when(F.col("lexical_key").isNotNull(), say("lexical", one("lexical")))
+        claim.when(F.col("lexical_key").isNotNull(), say("lexical", one("lexical")))
         .when(F.col("import_path").isNotNull(), say("import", one("imported")))
         .when(F.col("same_n") > 0, say("same_file", one("same")))
-        .when(F.col("qualified_n") > 0, say("qualified", one("qualified")))
+        .when((F.col("qualified_n") > 0) & F.col("name").contains("::"), say("qualified", one("qualified")))
         .otherwise(say("global", one("global")))
     )
     out = out.withColumn("c", claim).select("ref", F.col("c.id").alias("target"), F.col("c.rule").alias("rule"), "name")

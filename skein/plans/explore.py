@@ -36,7 +36,7 @@ class Index:
         """From files (path, language, text): units, and references bound where the ladder can bind them."""
         from skein.extractors import markdown
         from skein.extractors.base import populate
-        from skein.operators.resolve import resolve
+        from skein.plans.binding import bind
         from skein.sources.storage import settled
 
         if symbols is None or refs is None:
@@ -45,13 +45,10 @@ class Index:
         files_ = files.withColumn("lines", F.size(F.split("text", "\n")))
         node = F.lit(None).cast("string")
         file_nodes = files_.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), "path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("path").alias("qualified_name"), node.alias("signature"), F.lit(1).alias("start_line"), F.col("lines").alias("end_line"))
-        nodes = settled(nodes.select("id", "kind", "path", "name", "qualified_name", "signature", "start_line", "end_line", "key", "attributes").unionByName(file_nodes, allowMissingColumns=True))
+        nodes = settled(nodes.select("id", "kind", "path", "name", "qualified_name", "signature", "start_line", "end_line", "key", "parent_key", "attributes").unionByName(file_nodes, allowMissingColumns=True))
         refs = settled(refs.withColumn("ref", F.monotonically_increasing_id()))
-        asked = refs.select(
-            "ref", "path", F.col("kind").alias("edge_kind"), F.element_at(F.split("name", r"\.|::"), -1).alias("name"), F.lit(None).cast("string").alias("lexical_key"),
-            F.lit(None).cast("string").alias("import_path"), "import_name", F.lit(False).alias("dynamic"),
-        )
-        bound = resolve(asked, nodes.filter("kind <> 'file'").select("id", "path", "kind", "name", "qualified_name", F.col("key").alias("lexical_key"), F.coalesce(F.col("attributes")["lexical_local"] == "true", F.lit(False)).alias("local")))
+        local = F.coalesce(F.col("attributes")["lexical_local"] == "true", F.lit(False))
+        bound = bind(refs.withColumnRenamed("kind", "edge_kind"), nodes.withColumn("local", local), files)
         owner = nodes.select("path", F.col("key").alias("from_key"), F.col("id").alias("owner"))
         sites = refs.join(bound.select("ref", "target", "to_name"), "ref").join(owner, ["path", "from_key"], "left")
         edges = sites.groupBy(F.coalesce("owner", F.concat(F.lit("file:"), "path")).alias("src"), "kind", F.col("target").alias("dst"), "to_name").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("sites"))
@@ -60,7 +57,7 @@ class Index:
         body = files.select("path", F.split("text", "\r?\n").alias("_l"))
         units = units.join(body, "path").withColumn("text", F.array_join(F.expr("slice(_l, start_line, end_line - start_line + 1)"), "\n")).drop("_l")
         units = units.withColumn("unit_id", F.format_string("%s:%08d", "path", "unit")).withColumn("owner", F.coalesce("owner", F.concat(F.lit("file:"), "path")))
-        return cls(nodes.drop("key"), settled(edges), settled(units), files)
+        return cls(nodes.drop("key", "parent_key"), settled(edges), settled(units), files)
 
 
 def route(index: Index, r: ExploreRequest) -> str:
@@ -82,10 +79,15 @@ def seeds(index: Index, r: ExploreRequest, way: str) -> DataFrame:
     o, q = r.options, r.query.strip()
     query, _ = TX.strip_task(q) if o.task else (q, [])
     pool = max(POOL_LEAST, min(POOL_MOST, POOL_MULTIPLIER * r.k))
-    nodes = index.nodes
+    nodes, units = index.nodes, index.units
+    if r.path:  # filters come before every pool, so that they lose no hit
+        nodes, units = (x.filter(F.col("path").rlike(anchored_glob(r.path))) for x in (nodes, units))
+    if r.language:
+        own = index.files.filter(F.col("language") == r.language).select("path")
+        nodes, units = (x.join(own, "path", "left_semi") for x in (nodes, units))
     if len(TX.query_terms(query, o.analysis == "identifiers")) > MAX_TERMS:
         raise ValueError("too many terms")
-    body = functools.partial(_body_lane, index, query, pool, o)
+    body = functools.partial(_body_lane, units, query, pool, o)
     if way == "exact":
         hits = nodes.filter(F.col("id") == q).select("id", F.lit(2.0).alias("score"))
     elif way == "name":
@@ -96,7 +98,7 @@ def seeds(index: Index, r: ExploreRequest, way: str) -> DataFrame:
     elif way == "path":
         hits = nodes.filter("kind = 'file'").filter(F.col("path").rlike(anchored_glob(q))).select("id", F.lit(1.0).alias("score")).orderBy("id").limit(pool)
     elif way in ("phrase", "near"):
-        found = positional.phrase(index.units, "unit_id", query, o.phrase_gap) if way == "phrase" else positional.near(index.units, "unit_id", query, o.near_window)
+        found = positional.phrase(units, "unit_id", query, o.phrase_gap) if way == "phrase" else positional.near(units, "unit_id", query, o.near_window)
         hits = found.join(index.units.select("unit_id", "owner"), "unit_id").groupBy(F.col("owner").alias("id")).agg(F.min(F.struct("unit_id", "start")).alias("first"))
         hits = ranking.ranked(hits.orderBy("first", "id").limit(pool), ["first", "id"]).select("id", TX.rank_score(F.col("rank0")).alias("score"))
     elif way == "body":
@@ -110,21 +112,18 @@ def seeds(index: Index, r: ExploreRequest, way: str) -> DataFrame:
         lanes = [ranking.ranked(meta, [F.desc("score"), "id"]), ranking.ranked(body(), [F.desc("score"), "id"]).withColumn("exact", F.lit(False))]
         hits = ranking.fuse(lanes).select("id", "score")
     hits = hits.join(nodes.select("id", "path", "qualified_name", "attributes"), "id")
-    if r.path:
-        hits = hits.filter(F.col("path").rlike(anchored_glob(r.path)))
-    if r.language:
-        hits = hits.join(index.files.filter(F.col("language") == r.language).select("path"), "path", "left_semi")
     test = TX.test_owned(F.col("path"), F.col("qualified_name"), F.col("attributes")["test_owned"])
     late = test if o.tests == "defer" and way in ("body", "fusion") else F.lit(False)
     placed = ranking.defer_tests(hits, query, late, TX.spells_name(query, F.col("qualified_name")))
     return ranking.diverse(placed, r.k, o.per_file).select("id", "path", "score", F.col("slot").alias("place"))
 
 
-def _body_lane(index: Index, query: str, pool: int, o) -> DataFrame:
-    hits = lexical.body_search(index.units, "unit_id", query, o.match, pool * 4, whole=o.analysis == "identifiers")
-    hits = hits.join(index.units.select("unit_id", F.col("owner").alias("id")), "unit_id")
-    best = lexical.best_per_owner(hits, "id", [F.desc("score"), "unit_id"])
-    return best.select("id", "score").orderBy(F.desc("score"), "id").limit(pool)
+def _body_lane(units: DataFrame, query: str, pool: int, o) -> DataFrame:
+    """id, score: the best region of each owner, then the best owners."""
+    hits = lexical.body_search(units, "unit_id", query, o.match, None, whole=o.analysis == "identifiers")
+    hits = hits.join(units.select("unit_id", F.col("owner").alias("id")), "unit_id")
+    best = hits.groupBy("id").agg(F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), "id").limit(pool)
 
 
 def explore(index: Index, r: ExploreRequest) -> Envelope:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from skein.extractors.base import EXTENSIONS, language_of
 from skein.functions.globs import _body
 
-DEFAULT_EXCLUDES = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv", "vendor", ".next", "coverage")
+# Folders that are never walked, by name.
+DEFAULT_EXCLUDES = (".git", "target", "node_modules", "dist", "build", "out", ".venv", "venv", "vendor")
 
 
 @dataclass(frozen=True)
@@ -137,12 +138,29 @@ def walk(root: str, policy: WalkPolicy | None = None) -> Walk:
 
 
 def read_tree(spark: SparkSession, root: str, walked: Walk) -> DataFrame:
-    """path, language, size, mtime_ns, content, content_hash of the walked files, read by the executors in parallel."""
+    """path, language, size, mtime_ns, content, content_hash of the walked files, and of no others, read by the executors."""
     listed = spark.createDataFrame(walked.files, "path string, size long, mtime_ns long, language string")
-    prefix = Path(root).resolve().as_uri()
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*").load(root)
-    path = F.expr(f"substring(url_decode(path), {len(prefix.replace('file://', 'file:')) + 2})")
-    return listed.join(raw.select(path.alias("path"), "content"), "path").withColumn("content_hash", F.sha2("content", 256))
+    parts = max(1, min(len(walked.files) // 64, spark.sparkContext.defaultParallelism * 4))
+    base = str(Path(root).resolve())
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 64):  # some files' contents at a time
+                some = b.iloc[at : at + 64].copy()
+                some["content"] = [_content(os.path.join(base, p)) for p in some["path"]]
+                yield some[some["content"].notna()]
+
+    read = listed.repartition(parts, "path").mapInPandas(each, "path string, size long, mtime_ns long, language string, content binary")
+    return read.select("path", "language", "size", "mtime_ns", "content").withColumn("content_hash", F.sha2("content", 256))
+
+
+def _content(path: str) -> bytes | None:
+    """A file's bytes; None if it is gone since the walk."""
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
 
 
 def language_table(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
