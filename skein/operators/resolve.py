@@ -93,6 +93,12 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("ref", "target", "rule", F.col("target").isNotNull().alias("resolved"), F.when(F.col("target").isNull(), dangling_name(F.col("name"))).alias("to_name"))
 
 
+def resolution_counts(refs: DataFrame, bound: DataFrame) -> DataFrame:
+    """edge_kind, resolved, unresolved: how many references of each kind (ref, edge_kind) `resolve` bound (ref, resolved)."""
+    per = refs.select("ref", "edge_kind").join(bound.select("ref", "resolved"), "ref").groupBy("edge_kind")
+    return per.agg(F.count(F.when(F.col("resolved"), 1)).alias("resolved"), F.count(F.when(~F.col("resolved"), 1)).alias("unresolved"))
+
+
 def unique_globals(symbols: DataFrame) -> DataFrame:
     """name, id of names that exactly one symbol has."""
     return symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1").select("name", "id")

@@ -15,9 +15,9 @@ BOTH = NODES + ", " + T.EDGES_SQL
 SEED = "nation:7"
 
 
-@query("symbol", NODES + " SELECT id, kind, name, path, CASE WHEN name = 'FRANCE' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score, CASE WHEN kind = 'variable' THEN 1 ELSE 0 END AS tier FROM nodes WHERE name = 'FRANCE' OR qualified_name = 'FRANCE'")
+@query("symbol", NODES + " SELECT id, kind, name, path, CASE WHEN name = 'order7' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score, CASE WHEN kind = 'variable' THEN 1 ELSE 0 END AS tier FROM nodes WHERE name = 'order7' OR qualified_name = 'order7'")
 def symbol(spark, d):
-    return graph.find_symbol(T.nodes(spark, d), "FRANCE")
+    return graph.find_symbol(T.nodes(spark, d), "order7")
 
 
 @query("symbol_by_id", NODES + " SELECT id, kind, name, path, 2.0::DOUBLE AS score, 0 AS tier FROM nodes WHERE id = 'customer:12'")
@@ -85,9 +85,10 @@ def impact_nodes(spark, d):
     return graph.impact_nodes(_reference_edges(spark, d), T.nodes(spark, d), SEED, 2, ("calls", "references", "type_uses", "extends"))
 
 
-@query("caller_summary", EDGES + " SELECT count(DISTINCT src) AS direct, count(DISTINCT src) AS total FROM edges WHERE kind = 'calls' AND dst = 'supplier:5'")
+@query("caller_summary", EDGES + ", e AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('calls', 'references', 'extends')), one AS (SELECT src FROM e WHERE dst = 'region:2'), two AS (SELECT src FROM e WHERE dst IN (SELECT src FROM one) UNION SELECT src FROM one) SELECT (SELECT count(*) FROM one) AS direct, (SELECT count(*) FROM two) AS total")
 def caller_summary(spark, d):
-    return graph.caller_summary(T.edges(spark, d, ("calls",)), "supplier:5", 2)
+    e = T.edges(spark, d, ("calls", "references", "extends")).filter("kind IN ('calls', 'references', 'extends')")
+    return graph.caller_summary(e.withColumn("kind", F.lit("calls")), "region:2", 2)
 
 
 def _path_sql(start: str, goal: str, hops: int) -> str:
@@ -107,13 +108,13 @@ def shortest_path(spark, d):
 
 
 @query("connect_seeds", EDGES + """, s AS (SELECT src AS x, dst AS y, src, kind, dst FROM edges WHERE src <> dst UNION ALL SELECT dst, src, src, kind, dst FROM edges WHERE src <> dst),
-seed(id) AS (VALUES ('customer:1'), ('customer:2'), ('nation:3')), h1 AS (SELECT a.id AS a, s.y AS m, s.src, s.kind, s.dst FROM seed a JOIN s ON s.x = a.id),
+seed(id) AS (VALUES ('nation:0'), ('nation:1'), ('nation:2'), ('nation:3'), ('nation:4'), ('nation:5')), h1 AS (SELECT a.id AS a, s.y AS m, s.src, s.kind, s.dst FROM seed a JOIN s ON s.x = a.id),
 one AS (SELECT DISTINCT a, b.id AS b FROM h1 JOIN seed b ON b.id = h1.m WHERE a < b.id),
 two AS (SELECT DISTINCT p.a, q.a AS b, p.m FROM h1 p JOIN h1 q ON p.m = q.m AND p.a < q.a WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.a = p.a AND one.b = q.a))
 SELECT DISTINCT h1.src, h1.kind, h1.dst FROM h1 JOIN one ON one.a = h1.a AND one.b = h1.m
 UNION SELECT h1.src, h1.kind, h1.dst FROM h1 JOIN two ON (two.a = h1.a OR two.b = h1.a) AND two.m = h1.m""")
 def connect_seeds(spark, d):
-    return graph.connect(T.edges(spark, d), ["customer:1", "customer:2", "nation:3"], 2)
+    return graph.connect(T.edges(spark, d), [f"nation:{i}" for i in range(6)], 2)
 
 
 @query("components", """WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS a, concat('r', n_regionkey) AS b FROM nation UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer),
@@ -160,9 +161,9 @@ def occurrences_by_name(spark, d):
     return graph.occurrences(_sites(spark, d), name="R", limit=500).distinct()
 
 
-@query("unique_global_resolution", "SELECT p_name AS name, concat('part:', min(p_partkey)) AS id FROM part GROUP BY p_name HAVING count(*) = 1")
+@query("unique_global_resolution", NODES + " SELECT name, min(id) AS id FROM nodes GROUP BY name HAVING count(*) = 1")
 def unique_global_resolution(spark, d):
-    return resolve.unique_globals(T.table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id")))
+    return resolve.unique_globals(T.nodes(spark, d))
 
 
 def _ladder(spark, d):
@@ -190,7 +191,7 @@ r AS (SELECT event_id AS ref, concat('f', event_id % 50) AS path, event_id % 3 =
 c AS (SELECT r.ref, any_value(r.name) AS name, any_value(r.lk) AS lk, any_value(r.ip) AS ip, any_value(r.dyn) AS dyn,
   list(s.id) FILTER (s.path = r.path AND s.lk = r.lk) AS a, list(s.id) FILTER (s.path = r.ip AND s.name = r.iname) AS b,
   list(s.id) FILTER (NOT s.local AND s.path = r.path AND s.name = r.name) AS e, list(s.id) FILTER (NOT s.local AND s.q = r.name) AS f, list(s.id) FILTER (NOT s.local AND s.name = r.name) AS g
-  FROM r LEFT JOIN s ON (s.kind = 'function' AND r.call OR s.kind = 'struct') AND (s.name = r.name OR s.q = r.name OR s.lk = r.lk OR (s.path = r.ip AND s.name = r.iname)) GROUP BY r.ref),
+  FROM r LEFT JOIN s ON (s.kind = 'function') = r.call AND (s.name = r.name OR s.q = r.name OR s.lk = r.lk OR (s.path = r.ip AND s.name = r.iname)) GROUP BY r.ref),
 d AS (SELECT ref, name, CASE WHEN dyn THEN 'dynamic' WHEN lk IS NOT NULL THEN 'lexical' WHEN ip IS NOT NULL THEN 'import' WHEN len(e) > 0 THEN 'same_file' WHEN len(f) > 0 THEN 'qualified' ELSE 'global' END AS rule, a, b, e, f, g FROM c),
 t AS (SELECT ref, name, rule, CASE rule WHEN 'lexical' THEN a WHEN 'import' THEN b WHEN 'same_file' THEN e WHEN 'qualified' THEN f WHEN 'global' THEN g END AS x FROM d)
 SELECT ref, CASE WHEN len(x) = 1 THEN x[1] END AS target, rule, coalesce(len(x), 0) = 1 AS resolved, CASE WHEN coalesce(len(x), 0) <> 1 THEN name END AS to_name FROM t"""
@@ -326,13 +327,12 @@ def presence_difference(spark, d):
     return a.exceptAll(b).withColumn("state", F.lit("gone")).unionAll(b.exceptAll(a).withColumn("state", F.lit("new")))
 
 
-@query("intersection", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
+@query("intersection", "SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
 def intersection(spark, d):
-    return T.table(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id").intersect(T.table(spark, d, "labels").filter("quality = 1").select("doc_id"))
+    return T.table(spark, d, "documents").filter("lang = 'en'").select("doc_id").intersect(T.table(spark, d, "labels").filter("quality = 1").select("doc_id"))
 
 
-@query("binding_surface", "SELECT count(*) AS files FROM (SELECT DISTINCT source FROM documents)")
+@query("binding_surface", """SELECT source AS path, sha256(to_json(list_sort(list(concat('{"kind":"function","name":"', lang, '","qualified_name":"', lang, '","visibility":"public"}'))))::VARCHAR) AS surface FROM documents GROUP BY source""")
 def binding_surface(spark, d):
     docs = T.table(spark, d, "documents")
-    s = M.binding_surface(docs.select(F.col("source").alias("path"), F.lit("function").alias("kind"), F.col("lang").alias("name"), F.col("lang").alias("qualified_name"), F.lit("public").alias("visibility")))
-    return s.agg(F.count(F.lit(1)).alias("files"))
+    return M.binding_surface(docs.select(F.col("source").alias("path"), F.lit("function").alias("kind"), F.col("lang").alias("name"), F.col("lang").alias("qualified_name"), F.lit("public").alias("visibility"), F.col("n_chars").alias("start_line")))

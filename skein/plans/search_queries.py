@@ -32,9 +32,9 @@ def _files_sql(where: str, limit: int = 100) -> str:
     return f"{FILES}, hit AS (SELECT path, language, bytes FROM files WHERE {where}) SELECT *, (SELECT count(*) FROM hit) > {limit} AS truncated FROM hit ORDER BY path LIMIT {limit}"
 
 
-@query("files_glob", _files_sql("regexp_full_match(path, 'src[0-4]/[^/]*7\\.en')"))
+@query("files_glob", _files_sql("regexp_full_match(path, 'src1[^/]*/[^/]*\\.de')"))
 def files_glob(spark, d):
-    return scan.find_files(T.files(spark, d), "src[0-4]/*7.en")
+    return scan.find_files(T.files(spark, d), "src1*/*.de")
 
 
 @query("files_language", _files_sql("language = 'de' AND starts_with(path, 'src3/')", 5))
@@ -95,10 +95,10 @@ def term_df(spark, d):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-def _body_sql(least: int, k: int = 10) -> str:
+def _body_sql(least: int, k: int = 10, terms: str = TERMS_SQL) -> str:
     return f"""WITH t AS (SELECT doc_id, {split_sql('text')} AS t FROM documents), u AS (SELECT doc_id, t, len(t) AS length FROM t WHERE len(t) > 0),
 s AS (SELECT count(*) AS n, greatest(avg(length), 1.0) AS average FROM u),
-p AS (SELECT doc_id, any_value(length) AS length, term, count(*) AS tf FROM (SELECT doc_id, length, unnest(t) AS term FROM u) JOIN {TERMS_SQL} USING (term) GROUP BY doc_id, term),
+p AS (SELECT doc_id, any_value(length) AS length, term, count(*) AS tf FROM (SELECT doc_id, length, unnest(t) AS term FROM u) JOIN {terms} USING (term) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term)
 SELECT doc_id, count(*)::INTEGER AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 6) AS score
 FROM p JOIN df USING (term), s GROUP BY doc_id HAVING count(*) >= {least} ORDER BY score DESC, doc_id LIMIT {k}"""
@@ -109,7 +109,15 @@ def _body(least):
 
 
 query("body_bm25_any", _body_sql(1))(_body("any"))
-query("body_bm25_all", _body_sql(len(BODY_TERMS)))(_body("all"))
+ALL_QUERY = "that was this from"
+_ALL_SQL = "(VALUES " + ", ".join(f"('{t}')" for t in text.query_terms(ALL_QUERY)) + ") q(term)"
+
+
+@query("body_bm25_all", _body_sql(4, terms=_ALL_SQL))
+def body_bm25_all(spark, d):
+    return lexical.body_search(T.table(spark, d, "documents"), "doc_id", ALL_QUERY, "all")
+
+
 query("body_bm25_at_least", _body_sql(2))(_body(2))
 
 META_QUERY = "Customer#000000007 sales"
@@ -150,9 +158,9 @@ def meta_bm25f(spark, d):
     return lexical.meta_search(T.nodes(spark, d), META_QUERY, k=20, bm25f=True)
 
 
-@query("meta_exact", _meta_sql("FRANCE", False, 1))
+@query("meta_exact", _meta_sql("Customer#000000007", False, 1))
 def meta_exact(spark, d):
-    return lexical.meta_search(T.nodes(spark, d), "FRANCE", k=20)
+    return lexical.meta_search(T.nodes(spark, d), "Customer#000000007", k=20)
 
 
 @query("exact_name", NODES + " SELECT id, kind, path FROM nodes WHERE lower(name) = 'supplier#000000003' OR lower(qualified_name) = 'supplier#000000003'")
@@ -188,7 +196,8 @@ def _positions_sql(terms):
     )
 
 
-@query("phrase", _positions_sql(["of", "the"]) + " SELECT doc_id, p0.pos AS start, p1.pos AS stop FROM p0 JOIN p1 USING (doc_id) WHERE p1.pos = p0.pos + 1")
+@query("phrase", f"""WITH tok AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {whole_sql('text')} AS t FROM documents)),
+n AS (SELECT doc_id, pos, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM tok) SELECT doc_id, pos AS start, pos + 1 AS stop FROM n WHERE term = 'of' AND nxt = 'the'""")
 def phrase(spark, d):
     return positional.phrase(T.table(spark, d, "documents"), "doc_id", "of the")
 
@@ -324,17 +333,16 @@ def excerpt_merge(spark, d):
     return context.merged(spans).drop("hash")
 
 
-@query("enclosing_owner", """WITH sp AS (SELECT user_id AS path, event_id AS id, event_id // 7 * 7 AS lo, event_id // 7 * 7 + event_id % 100 AS hi FROM events WHERE event_id % 20 = 0),
-pt AS (SELECT user_id AS path, event_id AS start, event_id + 3 AS stop FROM events WHERE event_id % 5 = 0)
-SELECT pt.path, pt.start, pt.stop, (SELECT arg_min(id, (hi - lo, id)) FROM sp WHERE sp.path = pt.path AND lo <= pt.start AND pt.stop <= hi) AS owner FROM pt""")
+@query("enclosing_owner", """WITH sp AS (SELECT user_id AS path, event_id AS id, event_id // 7 * 7 AS lo, event_id // 7 * 7 + event_id % 100 AS hi FROM events)
+SELECT p.user_id AS path, p.event_id AS start, p.event_id + 3 AS stop, arg_min(sp.id, (hi - lo, sp.id)) AS owner FROM events p LEFT JOIN sp ON sp.path = p.user_id AND lo <= p.event_id AND p.event_id + 3 <= hi GROUP BY ALL""")
 def enclosing_owner(spark, d):
+    """All events as spans of their user and as points."""
     from skein.operators.graph import enclosing
 
-    e = T.table(spark, d, "events").select("user_id", "event_id")
+    e = T.table(spark, d, "events").select(F.col("user_id").alias("path"), "event_id")
     lo = F.floor(F.col("event_id") / 7) * 7
-    spans = e.filter("event_id % 20 = 0").select(F.col("user_id").alias("path"), F.col("event_id").alias("id"), lo.alias("lo"), (lo + F.col("event_id") % 100).alias("hi"))
-    points = e.filter("event_id % 5 = 0").select(F.col("user_id").alias("path"), F.col("event_id").alias("start"), (F.col("event_id") + 3).alias("stop"))
-    return enclosing(points, spans)
+    spans = e.select("path", F.col("event_id").alias("id"), lo.alias("lo"), (lo + F.col("event_id") % 100).alias("hi"))
+    return enclosing(e.select("path", F.col("event_id").alias("start"), (F.col("event_id") + 3).alias("stop")), spans)
 
 
 @query("name_identities", """SELECT doc_id, concat('file:', source, '/', doc_id) AS file_id, concat('sym:', source, '#function:', lang, '@', doc_id) AS symbol_id, sha256(text) AS content_hash FROM documents""")
@@ -356,16 +364,22 @@ def hit_at_k_mrr(spark, d):
     return rank_metrics(T.table(spark, d, "labels").filter("quality = 1").join(lane, "doc_id", "left"))
 
 
-@query("coverage_recall", """WITH w AS (SELECT DISTINCT source AS task, lang AS path, unnest(range(doc_id % 50, doc_id % 50 + 6)) AS line FROM documents WHERE doc_id % 3 = 0),
-s AS (SELECT DISTINCT source AS task, lang AS path, unnest(range(doc_id % 50, doc_id % 50 + 4)) AS line FROM documents WHERE doc_id % 3 = 1),
+@query("coverage_recall", """WITH w AS (SELECT DISTINCT source AS task, lang AS path, unnest(range(doc_id % 50, doc_id % 50 + 6)) AS line FROM documents),
+s AS (SELECT DISTINCT source AS task, lang AS path, unnest(range(n_chars % 50, n_chars % 50 + 4)) AS line FROM documents),
 p AS (SELECT task, path, count(*) AS n, count(s.line) AS k FROM w LEFT JOIN s USING (task, path, line) GROUP BY ALL)
 SELECT task, count(*) AS files, count(*) FILTER (k > 0) AS files_found, sum(n)::BIGINT AS lines, sum(k)::BIGINT AS lines_found FROM p GROUP BY task""")
 def coverage_recall(spark, d):
     from skein.evaluation.metrics import region_coverage
 
-    docs, at = T.table(spark, d, "documents"), F.col("doc_id") % 50
-    span = lambda rest, n: docs.filter(f"doc_id % 3 = {rest}").select(F.col("source").alias("task"), F.col("lang").alias("path"), at.alias("start"), (at + n).alias("stop"))
-    return region_coverage(span(0, 5), span(1, 3))
+    docs = T.table(spark, d, "documents")
+    span = lambda c, n: docs.select(F.col("source").alias("task"), F.col("lang").alias("path"), (F.col(c) % 50).alias("start"), (F.col(c) % 50 + n).alias("stop"))
+    return region_coverage(span("doc_id", 5), span("n_chars", 3))
+
+
+@query("body_bm25_identifiers", _body_sql(1, terms="(VALUES ('that'), ('thing')) q(term)").replace(split_sql("text"), whole_sql("text")))
+def body_bm25_identifiers(spark, d):
+    """The same over whole lexemes."""
+    return lexical.body_search(T.table(spark, d, "documents"), "doc_id", "that thing", whole=True)
 
 
 @query("extraction_precision_recall", """WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), s AS (SELECT doc_id FROM documents WHERE contains(text, '%%%') OR contains(text, '!!')),

@@ -66,3 +66,21 @@ def edges(spark: SparkSession, d: str, kinds: tuple[str, ...] = ()) -> DataFrame
     """src, kind, dst, line, sites (reference sites behind the edge); only the tables of the kinds asked for are read."""
     selects = [s for s in _EDGES if not kinds or any(f"'{k}'" in s for k in kinds)]
     return _frame(spark, d, selects).toDF("src", "kind", "dst", "line", "sites").withColumns({"line": F.col("line").cast("long"), "sites": F.col("sites").cast("long")})
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """path, language, text: a source tree made of regions and nations, in which each nation's file uses its region's."""
+    region, nation = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("r")), table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_regionkey").cast("string").alias("r"))
+    kinds = [
+        ("src/", ".rs", "rust", "pub fn region_@() -> u32 {\n    1\n}\n", "use crate::r@::region_@;\n\npub fn nation_%() {\n    region_@();\n}\n"),
+        ("py/", ".py", "python", "def region_@():\n    return 1\n", "from py.r@ import region_@\n\n\ndef nation_%():\n    return region_@()\n"),
+        ("ts/", ".ts", "typescript", "export function region_@() {\n  return 1;\n}\n", 'import { region_@ } from "./r@";\n\nexport function nation_%() {\n  return region_@();\n}\n'),
+        ("md/", ".md", "okf", "# Region @\n", "# Nation %\n\nSee [the region](r@.md).\n"),
+    ]
+    out = []
+    for folder, end, language, whole, part in kinds:
+        name = lambda rows, head: F.concat(F.lit(folder + head), F.col(head), F.lit(end)).alias("path")  # noqa: B023, E731, ARG005
+        text = lambda t: F.replace(F.replace(F.lit(t), F.lit("@"), F.col("r")), F.lit("%"), F.col("n") if "%" in t else F.lit("")).alias("text")
+        out.append(region.select(name(region, "r"), F.lit(language).alias("language"), text(whole)))
+        out.append(nation.select(name(nation, "n"), F.lit(language).alias("language"), text(part)))
+    return functools.reduce(DataFrame.unionAll, out)

@@ -10,7 +10,7 @@ D = "/root/testdata/sf0.001"
 if not os.path.isdir(D):
     pytest.skip("no test tables", allow_module_level=True)
 
-from skein.plans import graph_queries, registry, search_queries  # noqa: E402, F401
+from skein.plans import graph_queries, index_queries, registry, search_queries  # noqa: E402, F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -42,6 +42,7 @@ def test_query(spark, db, name):
         names = [c[0] for c in r.description]
         assert sorted(names) == sorted(df.columns)
         assert got == rows(names, r.fetchall())
+    assert got, "a query that finds nothing shows nothing"
 
 
 def test_entry_survives_without_the_corpus_operators(spark):
