@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.text import STOPWORDS, exact_fold, exact_query, minimum_terms, query_terms, split_tokens, squash, whole_tokens
+from skein.sources.storage import settled
 
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"name": 8.0, "path": 2.0, "signature": 1.0, "qualified": 4.0}
@@ -36,8 +37,8 @@ def body_postings(units: DataFrame, key: str, text: str = "text", whole: bool =
 def body_search(units: DataFrame, key: str, query: str, match: str | int = "any", k: int | None = 10, text: str = "text", terms: list[str] | None = None, whole: bool = False) -> DataFrame:
     """key, matched, score of the k best units (all with k None); ties to the smaller key. A unit without terms is no document.
 
-    One pass counts, for each unit, its length and the query's terms in it, with no explosion of the others; the
-    statistics are one row and the frequencies one row for each query term, both broadcast.
+    One pass counts, for each unit, its length and the query's terms in it, with no explosion of the others, and writes
+    these numbers down; statistics (one row, broadcast) and hits are read from them, so that text is tokenised once.
     """
     terms = query_terms(query, whole) if terms is None else terms
     least = minimum_terms(match, len(terms))
@@ -47,7 +48,7 @@ def body_search(units: DataFrame, key: str, query: str, match: str | int = "any"
     rows = units.select(key, tokens.alias("_t")).withColumn("length", F.size("_t")).filter("length > 0")
     count = lambda t: F.size(F.filter("_t", lambda w: w == t))
     tf = [count(t) for t in terms]
-    counted = rows.select(key, "length", *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
+    counted = settled(rows.select(key, "length", *[c.alias(f"tf{i}") for i, c in enumerate(tf)]))
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("average"),
         *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))],
@@ -80,7 +81,7 @@ def meta_search(nodes: DataFrame, query: str, match: str | int = "any", k: int =
     rows = fields.select("id", "name", "full", *[no_stop(F.col(f)).alias(f"_{f}") for f in names])
     count = lambda f, t: F.size(F.filter(f"_{f}", lambda w: w == t))
     tf = [count(f, t).alias(f"tf_{f}_{i}") for i, t in enumerate(terms) for f in names]
-    rows = rows.select("id", "name", "full", *[F.size(f"_{f}").alias(f"len_{f}") for f in names], *tf)
+    rows = settled(rows.select("id", "name", "full", *[F.size(f"_{f}").alias(f"len_{f}") for f in names], *tf))
     has = [sum(F.col(f"tf_{f}_{i}") for f in names) > 0 for i in range(len(terms))]
     total = sum(F.col(f"len_{f}") for f in names)
     stats = rows.agg(
