@@ -307,7 +307,9 @@ def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     found = scratch(found, "runs")
     first = found.groupBy("run").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most")).filter("kept_doc_id <> most")
     single = found.join(first.select("run", "kept_doc_id"), "run").filter("doc_id <> kept_doc_id")
-    return whole.unionAll(single.select("key", "doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), "kept_doc_id"))
+    out = scratch(whole.unionAll(single.select("key", "doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), "kept_doc_id")), "passages")
+    discard(met, found)
+    return out
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -326,8 +328,9 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     cluster = spread.groupBy("component").agg(F.min("least").alias("kept_doc_id"), F.max("most").alias("most")).filter("kept_doc_id <> most")
     marked = spread.join(cluster.select("component", "kept_doc_id"), "component").select("unit", "kept_doc_id")
     columns = ["key", "doc_id", "start", "stop", "kept_doc_id"]
-    found = lines.drop("bands").join(marked, "unit").filter("doc_id <> kept_doc_id").select(*columns, F.lit(True).alias("line"))
+    found = scratch(lines.drop("bands").join(marked, "unit").filter("doc_id <> kept_doc_id").select(*columns, F.lit(True).alias("line")), "lines")
     found = found.unionAll(passages(docs, u.filter("NOT line").drop("line", "bands")).select(*columns, F.lit(False).alias("line")))
+    discard(u)
     per = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop", "line", "kept_doc_id")).alias("s"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
