@@ -394,7 +394,8 @@ def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     are compared whole; other columns may have any names.
     """
     small_batches(docs.sparkSession)
-    spans = repeats(docs, similarity).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = scratch(repeats(docs, similarity), "repeats")  # else its Python workers and those of cut would stand side by side in each task
+    spans = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_skein_id"), F.col("key").alias("_skein_key"), F.col("spans").alias("_skein_spans"))
 
     @F.pandas_udf("string")

@@ -202,3 +202,12 @@ def test_recall_of_similar_paragraphs(documents, r):
     got = {x.doc_id for x in S.repeats(documents(texts)).collect() if x.paragraph}
     assert len(got) >= 0.98 * 200 and all(i % 2 for i in got)
     assert S.bands_for(0.8) == 6 and 1 - (1 - 0.8**S.ROWS) ** S.BANDS >= S.RECALL
+
+
+def test_one_python_worker_in_a_task_of_the_last_stage(documents, r):
+    """The passages are written down before the texts are cut, so no task runs workers for both."""
+    shared = prose(r, 30)
+    out = S.remove_repeats(documents([prose(r, 30) + " " + shared, prose(r, 40) + " " + shared]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert sum(shared in x.text for x in out.collect()) == 1
