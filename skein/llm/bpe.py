@@ -67,6 +67,22 @@ WITH RECURSIVE step(k, b, tok, round) AS (
 )
 SELECT k, b, tok, step.round AS round FROM step JOIN (SELECT b >> 32 AS w, max(round) AS round FROM step GROUP BY w) l ON l.w = b >> 32 AND l.round = step.round ORDER BY k
 """
+#: The same for words of at most SHORT bytes: the one-by-one order itself, a pair of each word in a round.
+SHORT = 32
+ENCODE_SHORT = """
+WITH RECURSIVE step(k, b, tok, round) AS (
+  SELECT k, b, tok, 0 FROM start
+  UNION ALL
+  (WITH p AS MATERIALIZED (
+     SELECT *, lead(tok) OVER o AS nxt, lead(k) OVER o AS next, lead(b) OVER o AS nb FROM step WHERE round < $rounds WINDOW o AS (ORDER BY k)
+   ), hit AS MATERIALIZED (
+     SELECT p.b, min(m.rank::BIGINT << 32 | p.k) AS best, arg_min(p.next, m.rank::BIGINT << 32 | p.k) AS next FROM p JOIN merge m ON m.l = p.tok AND m.r = p.nxt WHERE p.nb = p.b GROUP BY p.b
+   )
+   SELECT p.k, p.b, CASE WHEN p.k = h.best & 4294967295 THEN (h.best >> 32)::INTEGER ELSE p.tok END, round + 1 FROM p JOIN hit h ON h.b = p.b WHERE p.k <> h.next
+  )
+)
+SELECT k, step.b AS b, tok, step.round AS round FROM step JOIN (SELECT b, max(round) AS round FROM step GROUP BY b) l ON l.b = step.b AND l.round = step.round ORDER BY k
+"""
 DECODE = "SELECT d, array_to_string(list(v.chars ORDER BY pos), '') AS chars FROM tokens JOIN vocabulary v USING (tok) GROUP BY d ORDER BY d"
 
 
@@ -114,39 +130,42 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words as little-endian unsigned 32-bit integers: a token by itself has its own id, as the
-        tiktoken library has it; any other word, of whatever length, is contracted by the recursion."""
-        held, size = [], 0
+        tiktoken library has it; any other word, of whatever length, is contracted by a recursion."""
+        held, size = ([], []), [0, 0]
         for word in words:
             raw = word.encode()
             if (one := self.ranks.get(raw)) is not None:
                 self.known[word] = one.to_bytes(4, "little")
                 continue
-            held.append((word, raw))
-            size += len(raw)
-            if size >= PIECE:
-                self._contract(held)
-                held, size = [], 0
-        if held:
-            self._contract(held)
+            short = len(raw) <= SHORT
+            held[short].append((word, raw))
+            size[short] += len(raw)
+            if size[short] >= PIECE:
+                self._contract(held[short], ENCODE_SHORT if short else ENCODE)
+                held[short].clear()
+                size[short] = 0
+        for rows, query in zip(held, (ENCODE, ENCODE_SHORT)):
+            if rows:
+                self._contract(rows, query)
 
     def _wide(self, raw: bytes) -> int:
         """Twice the length of the longest token that is made of bytes of raw: the size of a block."""
         own = bytes(set(raw))
         return 2 * next((len(t) for t in self.longest if not t.translate(None, own)), 1)
 
-    def _contract(self, rows: list[tuple[str, bytes]]) -> None:
+    def _contract(self, rows: list[tuple[str, bytes]], query: str) -> None:
         size = np.array([len(raw) for _, raw in rows])
         alone = 2 * len(self.longest[0])
-        wide = self._wide(b"".join(raw for _, raw in rows if len(raw) > alone)) if (size > alone).any() else alone
+        wide = self._wide(b"".join(raw for _, raw in rows if len(raw) > alone)) if (size > max(alone, SHORT)).any() else alone
         w, k = np.repeat(np.arange(len(rows)), size), np.arange(size.sum())
         block = (k - np.repeat(np.cumsum(size) - size, size)) // wide + 1
-        b = (w << 32) | np.where(np.repeat(size <= alone, size), 0, block)
+        b = (w << 32) | np.where(np.repeat(size <= max(alone, SHORT), size), 0, block)
         tok = self.byte[np.frombuffer(b"".join(raw for _, raw in rows), np.uint8)]
         piece = max(PIECE, 16 * wide)  # so that what stays as it is at one piece's end lies inside a piece of the next turn
         done, turn, idle = [], 0, np.zeros(len(rows), np.int64)
         while len(k):
             some = min(MOST_ROUNDS, max(ROUNDS, ROUNDS * PIECE // len(k)))
-            got, cut = self._turn(k, b, tok, piece, piece // 2 * (turn % 2), ENCODE.replace("$rounds", str(some)))
+            got, cut = self._turn(k, b, tok, piece, piece // 2 * (turn % 2), query.replace("$rounds", str(some)))
             turn += 1
             k, b, tok, rounds = (np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("k", "b", "tok", "round"))
             most = np.zeros(len(rows), np.int64)

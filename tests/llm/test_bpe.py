@@ -83,3 +83,12 @@ def test_many_small_vocabularies():
         for n in (7, 60, 300):
             w = "".join(r.choice("abc") for _ in range(n)) if r.random() < 0.7 else ("abcab"[: r.randint(1, 5)] * n)[:n]
             assert np.frombuffer(c.encode([w])[0], "<u4").tolist() == e.encode_ordinary(w), (w, more)
+
+
+def test_short_words_take_the_short_recursion(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "ENCODE", "not for short words")
+    r = random.Random(9)
+    c = bpe.Codec(bpe.load_ranks(open(FILE, "rb").read()), tokenizers_of_the_box.PATTERN)
+    words = ["".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(1, bpe.SHORT))) for _ in range(500)] + ["a" * bpe.SHORT, "\u00e9" * (bpe.SHORT // 2)]
+    for w, ids in zip(words, c.encode(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(w), w
