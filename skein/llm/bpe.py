@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import read, small_batches
 
-#: Words and cuts whose tokens a task remembers, and texts (characters) it encodes at a time.
-REMEMBERED, CHUNK_BYTES = 1_000_000, 4 << 20
+#: Words whose tokens a worker remembers, and texts (characters, and ROW for each row) that it encodes at a time.
+REMEMBERED, CHUNK_BYTES, ROW = 1_000_000, 8 << 20, 64
 #: Token positions that go through the recursion at a time, and the rounds of so many before only the last one's rows
 #: go on (of fewer positions as many more, up to MOST_ROUNDS, for the same memory).
 PIECE, ROUNDS, MOST_ROUNDS = 1 << 20, 8, 32
-#: Cuts of a text whose ids are put together at a time.
-_CUTS = 1 << 18
 #: White space other than single spaces between other signs and what stands inside a cut.
 _GAP = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _ODD = f"^{_GAP}|{_GAP}$| {_GAP}|{_GAP} "
@@ -67,22 +65,28 @@ WITH RECURSIVE step(k, b, tok, round) AS (
 )
 SELECT k, b, tok, step.round AS round FROM step JOIN (SELECT b >> 32 AS w, max(round) AS round FROM step GROUP BY w) l ON l.w = b >> 32 AND l.round = step.round ORDER BY k
 """
-#: The same for words of at most SHORT bytes: the one-by-one order itself, a pair of each word in a round.
+#: The same for words of at most SHORT bytes, a list of tokens for each word w: the one-by-one order itself, a pair of
+#: each word in a round, until no word has one.
 SHORT = 32
 ENCODE_SHORT = """
-WITH RECURSIVE step(k, b, tok, round) AS (
-  SELECT k, b, tok, 0 FROM start
+WITH RECURSIVE step(w, toks, done) AS (
+  SELECT w, toks, false FROM start
   UNION ALL
-  (WITH p AS MATERIALIZED (
-     SELECT *, lead(tok) OVER o AS nxt, lead(k) OVER o AS next, lead(b) OVER o AS nb FROM step WHERE round < $rounds WINDOW o AS (ORDER BY k)
-   ), hit AS MATERIALIZED (
-     SELECT p.b, min(m.rank::BIGINT << 32 | p.k) AS best, arg_min(p.next, m.rank::BIGINT << 32 | p.k) AS next FROM p JOIN merge m ON m.l = p.tok AND m.r = p.nxt WHERE p.nb = p.b GROUP BY p.b
+  (WITH held AS MATERIALIZED (
+     SELECT w, toks FROM step WHERE NOT done
+   ), pair AS (
+     SELECT w, unnest(toks) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks, 1) AS i FROM held
+   ), hit AS (
+     SELECT p.w, min(m.rank::BIGINT << 32 | p.i) AS best FROM pair p JOIN merge m ON m.l = p.l AND m.r = p.r GROUP BY p.w
    )
-   SELECT p.k, p.b, CASE WHEN p.k = h.best & 4294967295 THEN (h.best >> 32)::INTEGER ELSE p.tok END, round + 1 FROM p JOIN hit h ON h.b = p.b WHERE p.k <> h.next
+   SELECT s.w, CASE WHEN best IS NULL THEN toks ELSE toks[:(best & 4294967295) - 1] || [(best >> 32)::INTEGER] || toks[(best & 4294967295) + 2:] END, best IS NULL
+   FROM held s LEFT JOIN hit h ON h.w = s.w
   )
 )
-SELECT k, step.b AS b, tok, step.round AS round FROM step JOIN (SELECT b, max(round) AS round FROM step GROUP BY b) l ON l.b = step.b AND l.round = step.round ORDER BY k
+SELECT w, toks FROM step WHERE done ORDER BY w
 """
+#: Words that are decoded as one.
+GROUP = 256
 DECODE = "SELECT d, array_to_string(list(v.chars ORDER BY pos), '') AS chars FROM tokens JOIN vocabulary v USING (tok) GROUP BY d ORDER BY d"
 
 
@@ -123,10 +127,11 @@ class Codec:
         self.db.execute("CREATE TABLE merge AS SELECT * FROM merge")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = [len(t) for t in ranks]
         self.ranks, self.cut_at_spaces = ranks, cut_at_spaces
         self.longest = sorted(ranks, key=len, reverse=True)
         self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words as little-endian unsigned 32-bit integers: a token by itself has its own id, as the
@@ -141,19 +146,29 @@ class Codec:
             held[short].append((word, raw))
             size[short] += len(raw)
             if size[short] >= PIECE:
-                self._contract(held[short], ENCODE_SHORT if short else ENCODE)
+                (self._contract_short if short else self._contract)(held[short])
                 held[short].clear()
                 size[short] = 0
-        for rows, query in zip(held, (ENCODE, ENCODE_SHORT)):
+        for rows, contract in zip(held, (self._contract, self._contract_short)):
             if rows:
-                self._contract(rows, query)
+                contract(rows)
+
+    def _contract_short(self, rows: list[tuple[str, bytes]]) -> None:
+        ends = np.cumsum([0, *(len(raw) for _, raw in rows)]).astype(np.int32)
+        tok = self.byte[np.frombuffer(b"".join(raw for _, raw in rows), np.uint8)]
+        self.db.register("start", pa.table({"w": np.arange(len(rows), dtype=np.int32), "toks": pa.ListArray.from_arrays(ends, tok)}))
+        got = self.db.sql(ENCODE_SHORT).to_arrow_table().column("toks").combine_chunks()
+        whole, at = got.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), 0
+        for (word, _), n in zip(rows, pc.list_value_length(got).to_pylist()):
+            self.known[word] = whole[at : at + 4 * n]
+            at += 4 * n
 
     def _wide(self, raw: bytes) -> int:
         """Twice the length of the longest token that is made of bytes of raw: the size of a block."""
         own = bytes(set(raw))
         return 2 * next((len(t) for t in self.longest if not t.translate(None, own)), 1)
 
-    def _contract(self, rows: list[tuple[str, bytes]], query: str) -> None:
+    def _contract(self, rows: list[tuple[str, bytes]]) -> None:
         size = np.array([len(raw) for _, raw in rows])
         alone = 2 * len(self.longest[0])
         wide = self._wide(b"".join(raw for _, raw in rows if len(raw) > alone)) if (size > max(alone, SHORT)).any() else alone
@@ -165,7 +180,7 @@ class Codec:
         done, turn, idle = [], 0, np.zeros(len(rows), np.int64)
         while len(k):
             some = min(MOST_ROUNDS, max(ROUNDS, ROUNDS * PIECE // len(k)))
-            got, cut = self._turn(k, b, tok, piece, piece // 2 * (turn % 2), query.replace("$rounds", str(some)))
+            got, cut = self._turn(k, b, tok, piece, piece // 2 * (turn % 2), ENCODE.replace("$rounds", str(some)))
             turn += 1
             k, b, tok, rounds = (np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("k", "b", "tok", "round"))
             most = np.zeros(len(rows), np.int64)
@@ -205,51 +220,78 @@ class Codec:
             out.append(self.db.sql(query).to_arrow_table())
         return out, cut
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Where no match of the pattern goes on over a single space between two signs that are
-        no white space (cut_at_spaces), texts are cut there and each cut's ids remembered; others are matched whole."""
-        if len(self.tails) + len(self.known) > REMEMBERED:
-            self.tails.clear()
+    def _words(self, heads: list[str], cuts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The matches of heads, then of cuts with a space before them, and where each one's begin."""
+        parts = [self.split(h) for h in heads]
+        found = self.split(" " + " ".join(cuts)) if cuts else []
+        begins = np.flatnonzero(pc.starts_with(pa.array(found, pa.large_string()), " ").to_numpy(zero_copy_only=False))
+        if len(begins) != len(cuts):  # the pattern leaves spaces out: nothing shows where a cut begins
+            each = [self.split(" " + t) for t in cuts]
+            found, begins = [w for words in each for w in words], np.cumsum([0, *map(len, each)])[:-1]
+        first = np.cumsum([0, *map(len, parts)])
+        return [w for words in parts for w in words] + found, np.concatenate([first[:-1], begins + first[-1]]).astype(np.int64)
+
+    def _encode(self, texts: list[str], back: bool) -> list[pa.LargeBinaryArray]:
+        """The ids of each text and, if asked for, what they decode to. Where no match of the pattern goes on over a single
+        space between two signs that are no white space (cut_at_spaces), texts are cut there and each different cut is
+        matched once; others are matched whole. Each different word's ids are looked up, and decoded, once; as both are
+        the same wherever the word stands, cuts and texts are put together from them in order."""
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_pylist() if self.cut_at_spaces else [True] * len(texts)
         heads, rests = zip(*((t, None) if o else t.partition(" ")[::2] for t, o in zip(texts, odd))) if texts else ((), ())
         cuts = pc.split_pattern(pa.array([r or None for r in rests], pa.large_string()), " ")
         coded = cuts.flatten().dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        firsts, new = list(dict.fromkeys(heads)), [t for t in different if t not in self.tails]
-        parts = [self.split(h) for h in firsts], [self.split(" " + t) for t in new]
-        self.learn([w for w in dict.fromkeys(w for part in parts for words in part for w in words) if w not in self.known])
-        get = self.known.__getitem__
-        self.tails.update((t, b"".join(map(get, words))) for t, words in zip(new, parts[1]))
-        first = {h: b"".join(map(get, words)) for h, words in zip(firsts, parts[0])}
-        ids = list(map(self.tails.__getitem__, different))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start, whole = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
-        ends = np.cumsum(np.nan_to_num(pc.list_value_length(cuts).to_numpy(zero_copy_only=False))).astype(np.int64).tolist()
-        code = coded.indices.to_numpy()
-        return [first[h] + self._spread(whole, start, size, code[a:b]) for h, a, b in zip(heads, [0, *ends], ends)]
-
-    @staticmethod
-    def _spread(whole: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> bytes:
-        """The ids of the cuts `code` one after the other, some at a time; cut i has `size` of `whole` from `start` on."""
-        out = []
-        for at in range(0, len(code), _CUTS):
-            some = code[at : at + _CUTS]
-            n = size[some]
-            place = np.arange(n.sum()) + np.repeat(start[some] - np.cumsum(n) + n, n)
-            out.append(whole[place].tobytes())
-        return b"".join(out)
+        firsts = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+        found, begins = self._words(list(firsts), coded.dictionary.to_pylist())
+        n = np.nan_to_num(pc.list_value_length(cuts).to_numpy(zero_copy_only=False)).astype(np.int64)
+        starts = np.cumsum(n) - n
+        order = np.insert(coded.indices.to_numpy().astype(np.int64) + len(firsts), starts, [firsts[h] for h in heads])
+        words = pa.array(found, pa.large_string()).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        self.learn([w for w in different if w not in self.known])
+        ids = pa.array(list(map(self.known.__getitem__, different)), pa.large_binary())
+        lay = lambda x: _joined(_joined(x.take(words.indices), begins).take(pa.array(order)), starts + np.arange(len(n)))
+        return [lay(ids), lay(self._decode(ids))] if back else [lay(ids)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self._encode(texts, False)[0].to_pylist()
+
+    def round_trip(self, texts: list[str]) -> tuple[pa.LargeBinaryArray, pa.LargeBinaryArray]:
+        """The ids of each text and the bytes they decode to."""
+        ids, back = self._encode(texts, True)
+        return ids, back
+
+    def _decode(self, ids: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """What each value's ids decode to; GROUP values are aggregated together and told apart by their tokens' lengths."""
+        ends = _ends(ids) // 4
+        tok = np.frombuffer(ids.buffers()[2] or b"", "<u4", ends[-1]).astype(np.int32)
+        d = np.repeat(np.arange(len(ids), dtype=np.int32) // GROUP, np.diff(ends))
+        self.db.register("tokens", pa.table({"d": d, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
+        chars = self.db.sql(DECODE).to_arrow_table().column("chars").to_pylist()
+        return _binary(np.cumsum(np.concatenate([[0], self.length[tok]]))[ends], pa.py_buffer("".join(chars).encode("latin-1")))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        size = np.array([len(x) // 4 for x in ids])
-        n = int(size.sum())
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        self.db.register("tokens", pa.table({"d": d, "pos": np.arange(n, dtype=np.int32), "tok": np.frombuffer(b"".join(ids), "<u4").astype(np.int32)}))
-        out = [b""] * len(ids)
-        got = self.db.sql(DECODE).to_arrow_table()
-        for i, chars in zip(got.column("d").to_pylist(), got.column("chars").to_pylist()):
-            out[i] = chars.encode("latin-1")
-        return out
+        return self._decode(pa.array(ids, pa.large_binary())).to_pylist()
+
+
+def _binary(ends: np.ndarray, data: pa.Buffer | None) -> pa.LargeBinaryArray:
+    ends = np.ascontiguousarray(ends, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
+
+
+def _ends(x: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(x.buffers()[1], np.int64, len(x) + 1) if len(x) else np.zeros(1, np.int64)
+
+
+def _joined(x: pa.LargeBinaryArray, begins: np.ndarray) -> pa.LargeBinaryArray:
+    """x with everything from one of begins up to the next as one value."""
+    return _binary(_ends(x)[np.append(begins, len(x))], x.buffers()[2])
+
+
+def _digests(x: pa.LargeBinaryArray) -> pa.Array:
+    ends, data = _ends(x).tolist(), memoryview(x.buffers()[2])
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
 
 
 #: The codec that a Python worker made last: building one takes longer than many a task's texts.
@@ -285,21 +327,24 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, cut_at_spaces:
         from skein.llm.bpe import worker_codec  # the worker's own module, which outlives the task
 
         codec = worker_codec(name, ranks, pattern, cut_at_spaces)
+
+        def out(doc: list[int | None], text: list[str]) -> pa.RecordBatch:
+            ids, back = codec.round_trip(text)
+            cols = [pa.array(doc, pa.int64()), pa.array(np.diff(_ends(ids)) // 4), _digests(ids), _digests(back)]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        doc, text, size = [], [], 0
         for b in batches:
-            doc = b.column(0).to_pylist()
-            text = [t or "" for t in b.column(1).to_pylist()]
-            at = 0
-            while at < len(text):
-                end, size = at, 0
-                while end < len(text) and (end == at or size + len(text[end]) <= CHUNK_BYTES):
-                    size += len(text[end])
-                    end += 1
-                ids = codec.encode(text[at:end])
-                back = codec.decode(ids)
-                sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-                cols = [pa.array(doc[at:end], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at = end
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = t or ""
+                if text and size + len(t) + ROW > CHUNK_BYTES:
+                    yield out(doc, text)
+                    doc, text, size = [], [], 0
+                doc.append(i)
+                text.append(t)
+                size += len(t) + ROW
+        if text:
+            yield out(doc, text)
 
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, kind)

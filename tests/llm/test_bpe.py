@@ -92,3 +92,64 @@ def test_short_words_take_the_short_recursion(reference, monkeypatch):
     words = ["".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(1, bpe.SHORT))) for _ in range(500)] + ["a" * bpe.SHORT, "\u00e9" * (bpe.SHORT // 2)]
     for w, ids in zip(words, c.encode(words)):
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(w), w
+
+
+class Counting:
+    """A database that notes how many rows are handed to it under each name."""
+
+    def __init__(self, db):
+        self.db, self.rows = db, {}
+
+    def register(self, name, table):
+        self.rows.setdefault(name, []).append(len(table))
+        return self.db.register(name, table)
+
+    def sql(self, query):
+        return self.db.sql(query)
+
+
+def test_each_different_word_goes_through_duckdb_once(reference):
+    """A text's words are contracted and decoded once, however often and wherever they stand."""
+    c = bpe.Codec(bpe.load_ranks(open(FILE, "rb").read()), tokenizers_of_the_box.PATTERN)
+    c.db = Counting(c.db)
+    words = [f"qz{a}xv{b}jq" for a in "bcdfg" for b in "hklmn"]
+    r = random.Random(10)
+    texts = [" ".join(r.choices(words, k=200)) for _ in range(50)]
+    ids, back = c.round_trip(texts)
+    assert back.to_pylist() == [t.encode() for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [reference.encode_ordinary(t) for t in texts]
+    different = {w for t in texts for w in (t.split(" ")[0], *(" " + x for x in t.split(" ")[1:]))}
+    once = sum(len(reference.encode_ordinary(w)) for w in different)
+    assert c.db.rows["tokens"] == [once] and sum(map(len, ids.to_pylist())) // 4 > 50 * once
+    assert sum(c.db.rows["start"]) <= 2 * len(different)
+
+
+def test_white_space_of_all_kinds(reference):
+    r = random.Random(11)
+    c = bpe.Codec(bpe.load_ranks(open(FILE, "rb").read()), tokenizers_of_the_box.PATTERN)
+    signs = ["a", "the", "Q", "é", "日", "7", "'s", "'", "!", "qzx", " ", " ", " ", " ", "  ", "\n", "\t", "\r\n", " ", " ", "　", "\u0085", "\x1c", "​", "\x00", "\U0001f600"]
+    for _ in range(60):
+        texts = ["".join(r.choices(signs, k=r.randint(0, 30))) for _ in range(40)]
+        ids, back = c.round_trip(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [reference.encode_ordinary(t) for t in texts]
+        assert back.to_pylist() == [t.encode() for t in texts]
+
+
+def test_pattern_that_leaves_spaces_out():
+    import tiktoken
+
+    ranks = bpe.load_ranks(open(FILE, "rb").read())
+    e = tiktoken.Encoding("letters", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+    c = bpe.Codec(ranks, r"\w+")
+    texts = ["qzxv jqzk, qzxv", "one", "", "- qzxv -", "a b c a b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == [e.encode_ordinary(t) for t in texts]
+
+
+def test_rows_of_several_batches(spark, documents, reference):
+    rows = [(i, None if i % 97 == 0 else f"row {i} qzxv{i % 7} " * (i % 5) + "end") for i in range(1500)]
+    out = bpe.encode_decode(documents(rows).coalesce(1), FILE, tokenizers_of_the_box.PATTERN).collect()
+    want = []
+    for i, t in rows:
+        ids = np.array(reference.encode_ordinary(t or ""), "<u4")
+        want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(tuple(x) for x in out) == want
