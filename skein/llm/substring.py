@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,9 @@ BANDS = bands_for(SIMILARITY)
 SEED = 6
 #: Paragraphs of one band in a task.
 GROUP_ROWS = 1024
-#: Bytes of a text whose words are split at a time, and words that are worked on at a time; neither changes a result.
-SECTION, BLOCK = 1 << 20, 1 << 18
+#: Bytes of a text whose words are split at a time, words of a text that are worked on at a time, and words from which on
+#: no further text joins those that are worked on together; none changes a result.
+SECTION, BLOCK, GATHER = 1 << 20, 1 << 18, 1 << 14
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -47,19 +50,29 @@ _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    out = h >> np.uint64(31)
+    out ^= h
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def _windows(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of `width` word hashes, in order."""
+    """A hash of each run of `width` word hashes, in order; put together from runs of 1, 2, 4, ... words."""
     n = len(h) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    out = h[:n].copy()
-    for i in range(1, width):
-        out = out * _P + h[i : n + i]
-    return _mix(out)
+    out, done, part, size = np.zeros(n, np.uint64), 0, h, 1
+    while True:
+        power = np.uint64(pow(int(_P), size, 1 << 64))
+        if width & size:
+            out *= power
+            out += part[done : done + n]
+            done += size
+        if done == width:
+            return _mix(out)
+        part = part[:-size] * power + part[size:]
+        size *= 2
 
 
 def sections(text: bytes) -> Iterator[bytes]:
@@ -83,23 +96,32 @@ def read_words(low: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Of a lower-cased text: the hashes of its words, and where its lines end (in words)."""
     hashes, ends, n = [np.zeros(0, np.uint64)], [], 0
     for part in sections(low):
-        size = [len(x.split()) for x in part.split(b"\n")]
-        ends.append(n + np.cumsum(size[:-1], dtype=np.int64))  # the last line may go on in the next section
-        hashes.append(_hashed(part))
+        lines = [x.split() for x in part.split(b"\n")]
+        size = np.cumsum([len(x) for x in lines], dtype=np.int64)
+        ends.append(n + size[:-1])  # the last line may go on in the next section
+        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lines)), np.uint64, size[-1]))
         n += len(hashes[-1])
     return np.concatenate(hashes), np.concatenate([*ends, [n]]).astype(np.int64)
 
 
-def stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where stretches start and what their seeds are. A stretch is a sequence of neighbouring runs of MIN_WORDS words
-    that have the same least seed; the last one ends with the last run."""
+def stretches(h: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, stop, text and seed of the stretches of texts that stand one after the other, each between two borders.
+
+    A stretch is a sequence of neighbouring runs of MIN_WORDS words of a text that have the same least seed; the last
+    one ends with the text."""
     least, width, whole = _windows(h, SEED), 1, MIN_WORDS - SEED + 1
     while width < whole:
         step = min(width, whole - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    starts = np.nonzero(np.append(True, least[1:] != least[:-1]))[0]
-    return starts, least[starts]
+    text = np.repeat(np.arange(len(borders) - 1), np.diff(borders))[: len(least)]
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    starts = np.nonzero(new & (np.arange(MIN_WORDS, len(least) + MIN_WORDS) <= borders[text + 1]))[0]
+    text = text[starts]
+    goes_on = np.append(text[1:] == text[:-1], False)[: len(text)]
+    stops = np.where(goes_on, np.append(starts[1:], 0)[: len(text)] + MIN_WORDS - 1, borders[text + 1])
+    return starts, stops, text, least[starts]
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
@@ -116,16 +138,50 @@ def _minima(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_units(low: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """start, stop, unit, span and bands of a text's stretches (bands None), then of its lines from SHINGLE words on.
+def text_units(lows: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """text (its number), start, stop, unit, span and bands of the texts' stretches (bands None) and of their lines from
+    SHINGLE words on.
 
-    Every run of MIN_WORDS words is in one stretch; a stretch that a block's end divides is two with one seed.
+    Every run of MIN_WORDS words is in one stretch; a stretch that a block's end divides is two with one seed. Texts of up
+    to BLOCK words are worked on together, as an array operation costs more than the few hundred words of most texts.
     """
-    h, ends = read_words(low)
+    held, n = [], 0
+    for i, low in enumerate(lows):
+        h, ends = read_words(low)
+        if len(h) > BLOCK:
+            for part in _long_units(h, ends):
+                yield np.full(len(part[0]), i), *part
+            continue
+        held.append((i, h, ends))
+        n += len(h)
+        if n >= GATHER:
+            yield from _gathered_units(held)
+            held, n = [], 0
+    if n:
+        yield from _gathered_units(held)
+
+
+def _gathered_units(held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    number, h = np.array([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    borders = np.concatenate([[0], np.cumsum([len(x[1]) for x in held])])
+    s, e, text, seed = stretches(h, borders)
+    ends = np.concatenate([x[2] + at for x, at in zip(held, borders.tolist())])
+    of = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+    first = np.append(0, ends[:-1])  # a text ends with a line, so the next one's first line starts there
+    keep = ends - first >= SHINGLE
+    ls, le, of = first[keep], ends[keep], of[keep]
+    span = _span_hash(h, np.append(s, ls), np.append(e, le))
+    if len(s):
+        yield number[text], s - borders[text], e - borders[text], seed, span[: len(s)], None
+    if len(ls):
+        yield number[of], ls - borders[of], le - borders[of], span[len(s) :], span[len(s) :], _bands(_line_minima(h, ls, le))
+
+
+def _long_units(h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The units of one text, BLOCK words at a time."""
     for at in range(0, len(h) - MIN_WORDS + 1, BLOCK):
         part = h[at : at + BLOCK + MIN_WORDS - 1]
-        s, seed = stretches(part)
-        e = np.append(s[1:] + MIN_WORDS - 1, len(part))
+        s, e, _, seed = stretches(part, np.array([0, len(part)]))
         yield s + at, e + at, seed, _span_hash(part, s, e), None
     first = np.concatenate([[0], ends[:-1]])
     keep = ends - first >= SHINGLE
@@ -138,20 +194,29 @@ def text_units(low: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
             least, unit = _minima(h[s[0] : e[0]])[None, :], _long_hash(h[s[0] : e[0]])
         else:
             part, lo = h[s[0] : e[-1]], s[0]
-            sh = _windows(part, SHINGLE)
-            at = np.stack([s - lo, e - lo - SHINGLE + 1], axis=1).ravel()
-            at = at[:-1] if at[-1] >= len(sh) else at
-            least = np.stack([np.minimum.reduceat(_mix(sh ^ c), at)[::2] for c in _SALT], axis=1)
-            unit = _span_hash(part, s - lo, e - lo)
+            least, unit = _line_minima(part, s - lo, e - lo), _span_hash(part, s - lo, e - lo)
         yield s, e, unit, unit, _bands(least)
         i = j
 
 
+def _line_minima(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The MinHash values of lines of at least SHINGLE words, in order."""
+    sh = _windows(h, SHINGLE)
+    at = np.stack([start, end - SHINGLE + 1], axis=1).ravel()
+    at = at[:-1] if at[-1] >= len(sh) else at
+    return np.stack([np.minimum.reduceat(_mix(sh ^ c), at)[::2] for c in _SALT], axis=1)
+
+
+@lru_cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _P)), np.cumprod(np.full(n, _P_INV))
+
+
 def _span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the word sequence of each span."""
-    power = np.cumprod(np.full(len(h), _P))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(h * power)])
-    inverse = np.cumprod(np.full(len(h), _P_INV))
+    power, inverse = _powers(1 << max(14, len(h).bit_length()))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
     return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
@@ -162,7 +227,7 @@ def _long_hash(h: np.ndarray) -> np.ndarray:
         for at in range(0, len(h), BLOCK):
             p = power * np.cumprod(np.full(len(h[at : at + BLOCK]), _P))
             total, power = total + (h[at : at + BLOCK] * p).sum(), p[-1]
-        return _mix(np.array([total * _P_INV * _P + np.uint64(len(h))], np.uint64))
+        return _mix(np.array([total * _P_INV + np.uint64(len(h))], np.uint64))
 
 
 def _hashed(part: bytes) -> np.ndarray:
@@ -195,8 +260,7 @@ def units(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def batch(keys: np.ndarray, ids: np.ndarray, out: list[tuple]) -> pa.RecordBatch:
-        count = np.array([len(x[1]) for x in out])
-        row, line = np.repeat([x[0] for x in out], count), np.repeat([x[5] is not None for x in out], count)
+        row, line = np.concatenate([x[0] for x in out]), np.repeat([x[5] is not None for x in out], [len(x[1]) for x in out])
         flat = np.concatenate([x[5].ravel() for x in out if x[5] is not None] or [np.zeros(0, np.uint64)])
         offsets = np.concatenate([[0], np.cumsum(line * BANDS)]).astype(np.int32)
         cat = lambda i, kind: np.concatenate([x[i] for x in out]).astype(kind, copy=False)
@@ -212,13 +276,12 @@ def units(docs: DataFrame) -> DataFrame:
         for b in batches:
             keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             out, n = [], 0
-            for row, text in enumerate(texts(b)):
-                for part in text_units(text.lower()):
-                    out.append((row, *part))
-                    n += len(part[0])
-                    if n > _UNITS:
-                        yield batch(keys, ids, out)
-                        out, n = [], 0
+            for part in text_units(t.lower() for t in texts(b)):
+                out.append(part)
+                n += len(part[0])
+                if n > _UNITS:
+                    yield batch(keys, ids, out)
+                    out, n = [], 0
             if out:
                 yield batch(keys, ids, out)
 
@@ -226,6 +289,17 @@ def units(docs: DataFrame) -> DataFrame:
     return named.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, _UNIT)
 
 
+def fields(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs without nulls: the lists' lengths, and each field over all lists."""
+    return np.diff(lists.offsets.to_numpy()), [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+
+
+def each_of(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers from start to before stop, of one range after the other."""
+    n = (stop - start).astype(np.int64)
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
 def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b: links between distinct paragraphs (by unit) whose shingle sets have Jaccard >= similarity.
 
@@ -241,13 +315,14 @@ def paragraph_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMIL
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit, sets = [], []
-            for text, spans in zip(texts(b), b.column(1).to_pylist()):
-                h = word_hashes(text.lower())
-                for s in spans:
-                    unit.append(s["unit"])
-                    sets.append(np.unique(_windows(h[s["start"] : s["stop"]], SHINGLE)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(sets, pa.binary())], names=["unit", "shingles"])
+            size, (start, stop, unit) = fields(b.column(1))
+            sets, i = [], 0
+            for text, n in zip(texts(b), size.tolist()):
+                sh = _windows(word_hashes(text.lower()), SHINGLE)
+                for s, e in zip(start[i : i + n].tolist(), stop[i : i + n].tolist()):
+                    sets.append(np.unique(sh[s : e - SHINGLE + 1]).tobytes())
+                i += n
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(sets, pa.binary())], names=["unit", "shingles"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).dropDuplicates(["doc_id", "key"])
     sets = scratch(source.join(wanted, ["doc_id", "key"]).select("text", "spans").mapInArrow(cut, "unit long, shingles binary"), "shingles")
@@ -296,11 +371,22 @@ def passages(docs: DataFrame, stretches: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (text, spans) in enumerate(zip(texts(b), b.column(3).to_pylist())):
-                run = _windows(word_hashes(text.lower()), MIN_WORDS)
-                at = np.unique(np.concatenate([np.arange(x["start"], x["stop"] - MIN_WORDS + 1) for x in spans]))
-                same = lambda c: pa.array(np.full(len(at), b.column(c)[i].as_py(), np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([same(1), same(2), pa.array(at.astype(np.int32)), pa.array(run[at].view(np.int64))], names=["key", "doc_id", "start", "run"])
+            keys, ids = b.column(1).to_numpy(), b.column(2).to_numpy()
+            size, (start, stop) = fields(b.column(3))
+            rows, starts, found, n, i = [], [], [], 0, 0
+            for row, (text, k) in enumerate(zip(texts(b), size.tolist())):
+                at = each_of(start[i : i + k], stop[i : i + k] - MIN_WORDS + 1)  # no run is in two stretches
+                found.append(_windows(word_hashes(text.lower()), MIN_WORDS)[at])
+                rows.append(np.full(len(at), row))
+                starts.append(at)
+                n, i = n + len(at), i + k
+                if n > _UNITS or row == b.num_rows - 1:
+                    of = np.concatenate(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[of]), pa.array(ids[of]), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))],
+                        names=["key", "doc_id", "start", "run"],
+                    )
+                    rows, starts, found, n = [], [], [], 0
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).dropDuplicates(["doc_id", "key"])
     found = source.join(wanted, ["doc_id", "key"]).select("text", "key", "doc_id", "spans").mapInArrow(each, "key long, doc_id long, start int, run long")
@@ -335,27 +421,36 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                out += [(key, doc, x["start"], x["stop"], x["kept_doc_id"], True) for x in s if x["line"]]
-                merged: list[list] = []
-                for x in sorted((x for x in s if not x["line"]), key=lambda x: (x["start"], -x["stop"], x["kept_doc_id"])):
-                    start, stop = x["start"], x["stop"]
-                    if merged and start <= merged[-1][3]:
-                        if merged[-1][4] == x["kept_doc_id"]:
-                            merged[-1][3] = max(merged[-1][3], stop)
-                            continue
-                        start = merged[-1][3]
-                    if start < stop:
-                        merged.append([key, doc, start, stop, x["kept_doc_id"], False])
-                out += map(tuple, merged)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            names = ["key", "doc_id", "start", "stop", "kept_doc_id", "paragraph"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+            size, (start, stop, line, kept) = fields(b.column(2))
+            row = np.repeat(np.arange(b.num_rows), size)
+            line = line.astype(bool)
+            runs = merged(*(x[~line] for x in (row, start, stop, kept)))
+            row, start, stop, kept = (np.concatenate([x[line], y]) for x, y in zip((row, start, stop, kept), runs))
+            columns = [pa.array(b.column(i).to_numpy()[row]) for i in (1, 0)] + [pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(kept)]
+            columns.append(pa.array(np.arange(len(row)) < line.sum()))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "start", "stop", "kept_doc_id", "paragraph"])
 
     return per.select("doc_id", "key", "s").mapInArrow(each, "key long, doc_id long, start int, stop int, kept_doc_id long, paragraph boolean")
 
 
+def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of rows (texts) as spans without a common word, in order.
+
+    By start, the longer and then that of the smaller `kept` first, a span keeps what no span before it has; what so
+    follows on, or overlaps, with the same `kept` is one span."""
+    order = np.lexsort((kept, -stop, start, row))
+    row, start, stop, kept = (x[order].astype(np.int64) for x in (row, start, stop, kept))
+    reach = np.maximum.accumulate(row << 32 | stop)
+    before = np.append(-1, reach[:-1])[: len(row)]
+    before = np.where(before >> 32 == row, before & 0xFFFFFFFF, -1)  # how far the spans before it in the text reach
+    more = stop > before
+    row, start, stop, kept, before = (x[more] for x in (row, start, stop, kept, before))
+    new = np.ones(len(row), bool)
+    new[1:] = (start[1:] > before[1:]) | (kept[1:] != kept[:-1])
+    last = np.append(new[1:], True)[: len(row)]
+    return row[new], np.maximum(start, before)[new], stop[last], kept[new]
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from skein.llm import substring as S
@@ -211,3 +212,42 @@ def test_one_python_worker_in_a_task_of_the_last_stage(documents, r):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
     assert sum(shared in x.text for x in out.collect()) == 1
+
+
+def test_short_texts_are_worked_on_together(r, monkeypatch):
+    """Array operations don't grow with the number of texts; units are those of each text by itself, whatever the grouping."""
+    odd = ["", " ", "\n\n", "a b c d e", "\nq w e r t y\n\nu", prose(r, 19), prose(r, 20), "ha " * 90]
+    texts = [t.lower().encode() for t in odd + [prose(r, r.randint(1, 60)) + r.choice([" ", "\n"]) + prose(r, r.randint(1, 60)) for _ in range(200)] + odd]
+    calls, windows = [], S._windows
+    monkeypatch.setattr(S, "_windows", lambda *a: calls.append(a) or windows(*a))
+    rows = lambda parts: sorted((*x, b) for p in parts for *x, b in zip(*(y.tolist() for y in p[:5]), [None] * len(p[0]) if p[5] is None else map(tuple, p[5].tolist())))
+    got = rows(S.text_units(texts))
+    assert len(calls) <= 4
+    assert got == sorted((i, *u[1:]) for i, t in enumerate(texts) for u in rows(S.text_units([t])))
+    for gather in (1, 70, 1000):
+        monkeypatch.setattr(S, "GATHER", gather)
+        assert rows(S.text_units(texts)) == got
+
+
+def test_a_line_has_one_hash_alone_and_among_others(r, monkeypatch):
+    h = np.array([r.getrandbits(64) for _ in range(50)], np.uint64)
+    for block in (7, 1 << 18):
+        monkeypatch.setattr(S, "BLOCK", block)
+        assert S._long_hash(h[9:40]) == S._span_hash(h, np.array([9]), np.array([40]))
+
+
+def test_merged_spans_equal_one_by_one(r):
+    """What the earliest span has goes to it; spans that follow on with the same document are one."""
+    for _ in range(300):
+        spans = [(r.randint(0, 2), a, a + r.randint(1, 9), r.randint(0, 2)) for a in (r.randint(0, 30) for _ in range(r.randint(0, 25)))]
+        want = []
+        for row, start, stop, kept in sorted(spans, key=lambda x: (x[0], x[1], -x[2], x[3])):
+            if want and want[-1][0] == row and start <= want[-1][2]:
+                if want[-1][3] == kept:
+                    want[-1][2] = max(want[-1][2], stop)
+                    continue
+                start = want[-1][2]
+            if start < stop:
+                want.append([row, start, stop, kept])
+        got = S.merged(*(np.array([x[i] for x in spans], np.int64) for i in range(4)))
+        assert [list(x) for x in zip(*(x.tolist() for x in got))] == want
