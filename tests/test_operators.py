@@ -247,3 +247,47 @@ def test_owners_by_brute_force_without_all_pairs_of_a_path(spark):
         want[path, start, stop] = min(held)[1] if held else None
     assert {(x.path, x.start, x.stop): x.owner for x in graph.enclosing(p, s).collect()} == want
     assert graph.span_pairs(p, s).count() < 20 * len(points)
+
+
+def test_connect_against_all_paths(spark, tmp_path):
+    """Several seeds and lengths on random graphs, each with repeated edges, loops and open ends."""
+    r = random.Random(3)
+    for hops in (1, 2, 3, 4):
+        names = [f"n{i}" for i in range(14)]
+        rows = [(r.choice(names), r.choice(["calls", "imports"]), r.choice(names)) for _ in range(17)] + [("n0", "calls", None)]
+        rows += rows[:3]
+        seeds = ["n0", "n3", "n5", "n9", "alone"]
+        near = {n: {(y, e) for e in rows if e[2] and e[0] != e[2] for x, y in (e[::2], e[::-2]) if x == n} for n in names}
+
+        def dist(s, near=near):
+            at, front, d = {s: 0}, [s], 0
+            while front:
+                d += 1
+                front = sorted({y for x in front for y, _ in near.get(x, ()) if y not in at})
+                at |= dict.fromkeys(front, d)
+            return at
+
+        far = {s: dist(s) for s in seeds}
+        want = {e for a in seeds for b in seeds if a < b and far[a].get(b, 99) <= hops for x in names for y, e in near[x] if far[a].get(x, 99) + 1 + far[b].get(y, 99) == far[a][b]}
+        edges = spark.createDataFrame(rows, "src string, kind string, dst string")
+        got = [tuple(x) for x in graph.connect(edges, seeds, hops).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want, hops
+
+
+def test_rounds_do_not_deal_out_the_edges(spark, tmp_path):
+    """The join of a traversal with its seeds reads the edges where they lie."""
+    spark.range(1000).selectExpr("concat('a', id) AS src", "'calls' AS kind", "concat('b', id % 9) AS dst").write.parquet(f"{tmp_path}/e")
+    edges = spark.read.parquet(f"{tmp_path}/e")
+    plans, real = [], graph.settled
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    graph.settled = settled
+    try:
+        plans.append(graph.rings(edges, ["b1"], 1, "in")._jdf.queryExecution().executedPlan().toString())
+        assert {r.src for r in graph.connect(edges, ["b1", "a1"], 2).collect()} == {"a1"}
+    finally:
+        graph.settled = real
+    assert not any("SortMergeJoin" in p and f"{tmp_path}/e" in p for p in plans)
