@@ -46,8 +46,8 @@ def in_root(files: DataFrame, root: str) -> DataFrame:
 
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), content: lines end at \\n or \\r\\n; the end of the text begins none."""
-    split = F.split("text", "\n")
-    rows = files.select("path", F.posexplode(split).alias("pos", "content"), F.size(split).alias("_n"))
+    split = files.select("path", F.split("text", "\n").alias("_l"))
+    rows = split.select("path", F.posexplode_outer("_l").alias("pos", "content"), F.size("_l").alias("_n"))  # explode would have Spark split each text twice
     rows = rows.filter((F.col("pos") < F.col("_n") - 1) | (F.col("content") != ""))
     ends = F.col("pos") < F.col("_n") - 1
     return rows.select("path", (F.col("pos") + 1).alias("line"), F.when(ends, F.regexp_replace("content", "\r$", "")).otherwise(F.col("content")).alias("content"))

@@ -80,6 +80,11 @@ def line_postings(lines: DataFrame, key: str = "path") -> DataFrame:
     """key, term, lines (sorted), split and whole: on which lines a term occurs, by either tokenizer."""
     from skein.functions.text import split_tokens, whole_tokens
 
-    both = lines.select(key, "line", F.explode(F.array_union(split_tokens(F.col("content")), whole_tokens(F.col("content")))).alias("term"), split_tokens(F.col("content")).alias("_s"), whole_tokens(F.col("content")).alias("_w"))
-    marked = both.select(key, "term", "line", F.array_contains("_s", F.col("term")).alias("s"), F.array_contains("_w", F.col("term")).alias("w"))
+    # lines are dealt out, not their many more postings, by the key alone; explode would have Spark tokenise each a second time, for a filter on what is empty
+    t = lines.select(key, "line", "content").repartition(key).select(key, "line", split_tokens(F.col("content")).alias("_s"), whole_tokens(F.col("content")).alias("_w"))
+    t = t.select(key, "line", "_s", "_w", F.array_except("_s", "_w").alias("_o"))
+    # in the order split only, both, whole only, so that a term's place tells which it is
+    t = t.select(key, "line", F.size("_o").alias("_from"), F.size(F.array_distinct("_s")).alias("_to"), F.array_union(F.array_union("_o", "_s"), "_w").alias("_t"))
+    marked = t.select(key, "line", "_from", "_to", F.posexplode_outer("_t").alias("_pos", "term")).filter("term IS NOT NULL")
+    marked = marked.select(key, "term", "line", (F.col("_pos") < F.col("_to")).alias("s"), (F.col("_pos") >= F.col("_from")).alias("w"))
     return marked.groupBy(key, "term").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.bool_or("s").alias("split"), F.bool_or("w").alias("whole"))

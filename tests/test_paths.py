@@ -77,3 +77,20 @@ def test_postings_and_coverage(spark):
     assert got == {"foo": ([1, 3], True, True), "bar": ([1], True, False), "foobar": ([1, 3], True, True), "x": ([1], True, True)}
     units = spark.createDataFrame([("a", 0, 1, 5, ["h"]), ("a", 1, 6, 6, [])], "path string, unit int, start_line int, end_line int, headings array<string>")
     assert tuple(analysis_coverage(units).first()) == ("a", 2, 6, 1, False)
+
+
+def test_postings_tokenise_once(spark, tmp_path):
+    """A line is split and tokenised once, whatever filters Spark adds, and long lines cost no square; either's terms are told apart."""
+    from skein.operators.scan import lines as lines_of
+
+    words = [f"fooBar{i}x b_{i}" for i in range(20_000)]
+    spark.createDataFrame([("p", "aB c\n\n" + " ".join(words)), ("q", ""), ("r", None)], "path string, text string").write.parquet(f"{tmp_path}/f")
+    files = spark.read.parquet(f"{tmp_path}/f")
+    df = line_postings(lines_of(files))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1 and plan.count("split(lower(regexp_replace(") == 1
+    start = time.time()
+    got = {r.term: (r.lines, r.split, r.whole) for r in df.collect()}
+    assert time.time() - start < 60
+    assert got["a"] == ([1], True, False) and got["ab"] == ([1], False, True) and got["c"] == ([1], True, True)
+    assert got["foo"] == ([3], True, False) and got["b_7"] == ([3], False, True) and got["foobar7x"] == ([3], False, True)
