@@ -291,3 +291,24 @@ def test_rounds_do_not_deal_out_the_edges(spark, tmp_path):
     finally:
         graph.settled = real
     assert not any("SortMergeJoin" in p and f"{tmp_path}/e" in p for p in plans)
+
+
+def test_last_round_of_a_path_keeps_the_goal_only(spark, tmp_path):
+    """A hub that the last round comes by is not spread out, nor are the edges dealt out for the join with the start."""
+    spark.range(5000).selectExpr("concat('a', id) AS src", "'calls' AS kind", "'hub' AS dst").write.parquet(f"{tmp_path}/e")
+    edges = spark.read.parquet(f"{tmp_path}/e")
+    sizes, plans, real = [], [], graph.settled
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    graph.settled = settled
+    try:
+        got = [tuple(r) for r in graph.shortest_path(edges, "a7", "a9", 2).orderBy("place").collect()]
+    finally:
+        graph.settled = real
+    assert got == [(0, "a7", None), (1, "hub", "calls"), (2, "a9", "calls")]
+    assert max(sizes) == 1 and not any("SortMergeJoin" in p and f"{tmp_path}/e" in p for p in plans)
