@@ -312,3 +312,31 @@ def test_last_round_of_a_path_keeps_the_goal_only(spark, tmp_path):
         graph.settled = real
     assert got == [(0, "a7", None), (1, "hub", "calls"), (2, "a9", "calls")]
     assert max(sizes) == 1 and not any("SortMergeJoin" in p and f"{tmp_path}/e" in p for p in plans)
+
+
+def test_impact_nodes_against_the_whole_cone(spark):
+    """Every limit gives the head of the whole order, and rings beyond it are not made."""
+    r = random.Random(5)
+    names = [f"n{i:02d}" for i in range(30)]
+    rows = [(r.choice(names), r.choice(["calls", "imports", "cites"]), r.choice(names)) for _ in range(45)] + [(None, "calls", "n00"), ("n01", "calls", "n00"), ("n01", "calls", "n00")]
+    edges = spark.createDataFrame(rows, "src string, kind string, dst string")
+    nodes = spark.createDataFrame([(x, "function", x, x, f"{x[-1]}.rs", i % 3) for i, x in enumerate(names) if i != 4], "id string, kind string, name string, qualified_name string, path string, line long")
+    kinds, sizes, real = ("calls", "imports"), [], graph.settled
+    e = [(s, t) for s, k, t in rows if k in kinds]
+    for depth in (1, 2, 3):
+        at, front = {"n00": 0}, ["n00"]
+        for d in range(1, depth + 1):
+            front = sorted({s for s, t in e if t in front and s is not None and s not in at})
+            at |= dict.fromkeys(front, d)
+        row = {x: (f"{x[-1]}.rs", i % 3) for i, x in enumerate(names) if i != 4}
+        want = sorted(((d, -sum(t == x and s in at for s, t in e), *row[x], x) for x, d in at.items() if d and x in row))
+        for limit in (1, 3, 500):
+            got = [(x.depth, -x.degree, x.path, x.line, x.id) for x in graph.impact_nodes(edges, nodes, "n00", depth, kinds, limit, links=edges.union(edges)).collect()]
+            assert got == want[:limit], (depth, limit)
+    assert len(want) > 3
+    graph.settled = lambda df: sizes.append(1) or real(df)
+    try:
+        graph.impact_nodes(edges, nodes, "n00", 4, kinds, 1)
+    finally:
+        graph.settled = real
+    assert len(sizes) == 3
