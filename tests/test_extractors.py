@@ -117,3 +117,17 @@ def test_extract_and_populate(spark):
     assert {(r.src, r.dst) for r in edges.collect()} == {("file:a.py", "sym:a.py#function:f"), ("file:a.py", "sym:a.py#function:f@3"), ("file:a.py", "sym:a.py#class:A"), ("sym:a.py#class:A", "sym:a.py#method:A.f")}
     assert [(r.kind, r.name) for r in refs.collect()] == [("calls", "g")]
     assert language_of("x/y.TSX") == "typescript" and language_of("Makefile") is None and language_of("a.foo", {"foo": "rust"}) == "rust"
+
+
+def test_html_elements_come_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    from skein.extractors import html
+
+    one = "<p class='a b'>" * 3000
+    got = list(html._found(iter([pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(9)], "text": [one] * 8 + [None]}, schema=pa.schema([("path", pa.string()), ("text", pa.string())]))])))
+    assert sum(b.num_rows for b in got) == 8 * 3000 and max(b.num_rows for b in got) <= html.BATCH_OUT
+    files = spark.range(5000).selectExpr("cast(id AS string) AS path", "'<a href=x id=y>' AS text")
+    e = html.elements(files)
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= html.BATCH
+    assert e.count() == 5000 and tuple(e.first())[2:] == (0, "a", 1, "y", [], "x", None, None)
