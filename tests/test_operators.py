@@ -340,3 +340,17 @@ def test_impact_nodes_against_the_whole_cone(spark):
     finally:
         graph.settled = real
     assert len(sizes) == 3
+
+
+def test_unique_edges_are_dealt_by_size_and_grouped_once(spark):
+    import re
+
+    def plan(n):
+        e = spark.range(n).selectExpr("concat('a', id % 50) AS src", "'calls' AS kind", "concat('b', id % 3) AS dst", "1L AS sites")
+        return graph.unique_edges(e)
+
+    n = [int(re.search(r"RepartitionByExpression \[edge_id#\d+\], (\d+)", plan(k)._jdf.queryExecution().optimizedPlan().toString())[1]) for k in (10_000, 10_000_000, 60_000_000)]
+    assert n[0] == 4 and 5 < n[2] / n[1] < 7
+    assert plan(10)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.edge_id: r.sites for r in plan(10_000).collect()}
+    assert len(got) == 150 and sum(got.values()) == 10_000 and got["(a0)-[calls]->(b0)"] == 67
